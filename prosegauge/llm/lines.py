@@ -11,8 +11,8 @@ error bound proves that each is in ``min_docs`` documents. Their lines are settl
 shuffle (for first occurrences, with a map-side minimum); all other keys take the exact windowed path.
 
 Defined results: null text is one empty line; rows that agree in id and text are one document and
-each of those rows is returned; null ids are ids like any other; an empty table gives no rows; columns
-of the input are not read beyond id and text, so their names may clash with nothing.
+each of those rows is returned; null ids are ids like any other; an empty table gives no rows; other columns
+of the input pass through.
 """
 
 from __future__ import annotations
@@ -101,27 +101,24 @@ def expand(runs: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "first", min_docs: int = 2, min_chars: int = 1, partitions: int | None = None) -> DataFrame:
-    """Per row of ``docs``: id, text, n_lines, n_dropped and ``keep_bitmap`` (run lengths, see :func:`bitmap`).
+    """``docs`` with n_lines, n_dropped and ``keep_bitmap`` (run lengths, see :func:`bitmap`) in every row.
 
     The bitmaps are what the dedup itself returns; the text rides along so that a caller can apply them
-    with :func:`kept_text` without a second join.
+    with :func:`kept_text` without a second join. Input columns named like the three new ones are replaced.
     """
     if mode not in ("first", "frequent"):
         raise ValueError(f"unknown mode {mode!r}")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     drops = drop_table(own, mode, min_docs, min_chars, partitions).select(F.col("id").alias("d_id"), F.col("th").alias("d_th"), "drops")
-    text = F.coalesce("text", F.lit(""))
-    keyed = own.withColumn("th", F.xxhash64(text))
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    keyed = keyed.withColumn("th", F.xxhash64("text"))
     joined = keyed.join(drops, keyed["id"].eqNullSafe(drops["d_id"]) & (keyed["th"] == drops["d_th"]), "left")
     joined = joined.withColumn("drops", F.coalesce("drops", F.array().cast("array<int>")))
-    n_lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
-    return joined.select(
-        F.col("id").alias(id_col),
-        F.col("text").alias(text_col),
-        n_lines.alias("n_lines"),
-        F.size("drops").cast("long").alias("n_dropped"),
-        bitmap(F.col("drops"), n_lines).alias("keep_bitmap"),
-    )
+    n_lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    new = F.struct(n_lines.alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"), bitmap(F.col("drops"), n_lines).alias("keep_bitmap"))
+    # in two steps: an alias of the first may not capture a name that the second uses
+    two = joined.select("row", new.alias("new"))
+    return two.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_bitmap")), "new.*")
 
 
 def kept_text(text: Column, runs: Column) -> Column:

@@ -17,4 +17,26 @@ SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
 FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4}
+#: Words; then windows of ten consecutive item words (a shorter item is one window), sought in the documents by equality.
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, list_aggregate(w[i : i + least(len(w), 10) - 1], 'string_agg', ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+ms AS (SELECT DISTINCT m FROM iw),
+dw AS (
+  SELECT doc_id, m, i, list_aggregate(w[i : i + m - 1], 'string_agg', ' ') AS g
+  FROM (SELECT doc_id, w, m, unnest(range(1, greatest(len(w) - m, -1) + 2)) AS i FROM d, ms)),
+h AS (SELECT dw.doc_id, dw.i, dw.m, iw.item_id FROM dw JOIN iw USING (m, g)),
+hit AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+its AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4, "op8_decontaminate": OP8}

@@ -7,16 +7,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from prosegauge.llm import packing
+from prosegauge.llm.decontaminate import decontaminate
+from prosegauge.llm.language import language_id
 from prosegauge.llm.lines import kept_text, line_dedup
+from prosegauge.llm.simhash import hex16, near_dedup
 from prosegauge.sources import read_table
 
 
+def _fold(id_col: str, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 ids; the ids themselves stay with the workers."""
+    out = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, emit_ids=False)
+    return out.drop("ids")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that 10 or more documents hold are dropped everywhere."""
     out = line_dedup(read_table(spark, sf_dir, "documents"), mode="frequent", min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(F.col("text"), F.col("keep_bitmap")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, links at two or fewer bits."""
+    out = near_dedup(read_table(spark, sf_dir, "documents"), shingle=3, width=64, segments=2, max_bits=2)
+    return out.select("doc_id", hex16(F.col("fp.f0")).alias("fingerprint"), "component_id")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from those outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    labelled = docs.where((_fold("doc_id", 5) != 0) & F.col("lang").isNotNull())
+    found = docs.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), language_id(docs, labelled).alias("r"))
+    return found.select("doc_id", "held_out", "r.lang_pred", "r.score")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of benchmark items in all documents."""
+    found = read_table(spark, sf_dir, "documents").select("doc_id", decontaminate(F.col("text"), read_table(spark, sf_dir, "benchmark"), window=10).alias("r"))
+    items = F.array_join(F.array_sort("r.items"), ",")
+    return found.select(
+        "doc_id", "r.n_words", "r.n_hit", F.size("r.items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.col("r.n_hit") > 0).alias("contaminated")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pack": op2_pack,
     "op4_line_dedup": op4_line_dedup,
+    "op5_simhash": op5_simhash,
+    "op6_language": op6_language,
+    "op8_decontaminate": op8_decontaminate,
 }
