@@ -84,8 +84,8 @@ def fingerprint_column(text: Column, shingle: int, width: int = WORD) -> Column:
     return of(text)
 
 
-def _hamming(width: int, a: str = "f", b: str = "g") -> Column:
-    parts = [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(names(width, a), names(width, b), strict=True)]
+def _hamming(a: list[Column], b: list[Column]) -> Column:
+    parts = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
     return sum(parts[1:], parts[0])
 
 
@@ -158,8 +158,11 @@ def links(fps: DataFrame, width: int, segments: int, max_bits: int) -> DataFrame
     w = Window.partitionBy("rest", "slot")
     before = F.collect_list(F.struct(*(F.col(x).alias(y) for x, y in zip(f, g, strict=True)))).over(w.orderBy(*f).rowsBetween(-SPAN, -1))
     entries = keyed.select("slot", "rest", *f, F.count("slot").over(w).alias("size"), before.alias("before")).where("size > 1")
+    # verified where they stand: what is written and unfolded are links, not candidates
+    linked = F.filter("before", lambda b: _hamming([F.col(x) for x in f], [b[y] for y in g]) <= max_bits)
+    entries = entries.withColumn("before", linked).where((F.size("before") > 0) | (F.col("size") > SPAN + 1))
     kept = materialize(entries, "simhash-entries")
-    near = kept.select(*f, F.explode("before").alias("b")).select(*f, "b.*").where(_hamming(width) <= max_bits)
+    near = kept.select(*f, F.explode("before").alias("b")).select(*f, "b.*")
     crowd = kept.where(F.col("size") > SPAN + 1)
     far = _ball_links(crowd.select("f0").distinct()) if (width, max_bits) == (WORD, 2) else _block_links(crowd.select("slot", "rest", "size", *f), width, max_bits)
     return near.unionByName(far).select(F.struct(*f).alias("a"), F.struct(*(F.col(y).alias(x) for x, y in zip(f, g, strict=True))).alias("b"))
