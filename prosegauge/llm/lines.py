@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosegauge.session import materialize
+
 TRIMMED = " \t\n\x0b\x0c\r"
 HOT_SHARE = 1 / 1000
 TRACKED = 10_000
@@ -33,17 +35,23 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, th, pos, h1, h2) of each line whose key has ``min_chars`` code points; h1 and h2 make 96 bits of hash."""
+def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(id, th, keys): for each document the hashes of its lines' keys, null for keys under ``min_chars`` code points.
+
+    Texts are read once, here; this table, some bytes a line, is all that the passes below read.
+    """
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("id", F.xxhash64(text).alias("th"), F.posexplode(F.split(ascii_lower(text), "\n", -1)).alias("pos", "line"))
-    key = F.trim(F.col("line"), F.lit(TRIMMED))
-    return keyed.select("id", "th", "pos", key.alias("k")).where(F.length("k") >= max(1, min_chars)).select("id", "th", "pos", F.xxhash64("k").alias("h1"), F.hash("k").alias("h2"))
+    keys = F.transform(F.split(ascii_lower(text), "\n", -1), lambda x: F.trim(x, F.lit(TRIMMED)))
+    # 96 bits of hash
+    pair = F.transform(keys, lambda k: F.when(F.length(k) >= max(1, min_chars), F.struct(F.xxhash64(k).alias("h1"), F.hash(k).alias("h2"))))
+    return docs.select("id", F.xxhash64(text).alias("th"), pair.alias("keys"))
 
 
-def hot_keys(lines: DataFrame, min_docs: int) -> list[int]:
+def hot_keys(hashes: DataFrame, min_docs: int) -> list[int]:
     """At most 1 / HOT_SHARE hashes, each proved to be in at least ``min_docs`` documents."""
-    row = lines.agg(F.expr(f"approx_top_k(h1, {int(1 / HOT_SHARE)}, {TRACKED})").alias("top"), F.count("h1").alias("n")).first()
+    # a document that repeats a line must not make it hot
+    once = hashes.select(F.explode(F.array_distinct(F.transform("keys", lambda k: k["h1"]))).alias("h1")).where("h1 is not null")
+    row = once.agg(F.expr(f"approx_top_k(h1, {int(1 / HOT_SHARE)}, {TRACKED})").alias("top"), F.count("h1").alias("n")).first()
     if not row["n"]:
         return []
     least = max(HOT_SHARE * row["n"], min_docs + SKETCH_ERROR * row["n"])
@@ -57,18 +65,17 @@ def drop_table(docs: DataFrame, mode: str, min_docs: int, min_chars: int, partit
     ``min_docs`` documents hold, every line but the first by document id, then text hash, then position.
     """
     spark = docs.sparkSession
-    lines = _lines(docs, min_chars)
-    # one row per document and key for the sketch: a document that repeats a line must not make it hot
-    once = _lines_once(docs, min_chars)
-    hot = hot_keys(once, min_docs)
+    hashes = materialize(_hashes(docs, min_chars), "line-hashes")
+    lines = hashes.select("id", "th", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("id", "th", "pos", "k.*")
+    hot = hot_keys(hashes, min_docs)
     is_hot = F.col("h1").isin(hot) if hot else F.lit(False)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = lines.where(~is_hot).repartitionByRange(n, "h1", "h2").sortWithinPartitions("h1", "h2", "id", "th", "pos")
     run = Window.partitionBy("h1", "h2")
     stream = run.orderBy("id", "th", "pos")
-    seen = ranged.withColumns({"doc_no": F.dense_rank().over(run.orderBy("id", "th")), "line_no": F.row_number().over(stream)})
+    seen = ranged.withColumns({"doc_no": F.dense_rank().over(run.orderBy("id", "th")), "first": F.first(F.struct("id", "th", "pos")).over(stream)})
     seen = seen.withColumn("n_docs", F.max("doc_no").over(run)).where(F.col("n_docs") >= min_docs)
-    gone = seen if mode == "frequent" else seen.where(F.col("line_no") > 1)
+    gone = seen if mode == "frequent" else seen.where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
     gone = gone.select("id", "th", "pos")
     if hot:
         warm = lines.where(is_hot)
@@ -79,12 +86,6 @@ def drop_table(docs: DataFrame, mode: str, min_docs: int, min_chars: int, partit
     return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 
-def _lines_once(docs: DataFrame, min_chars: int) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    keys = F.array_distinct(F.transform(F.split(ascii_lower(text), "\n", -1), lambda x: F.trim(x, F.lit(TRIMMED))))
-    return docs.select(F.explode(keys).alias("k")).where(F.length("k") >= max(1, min_chars)).select(F.xxhash64("k").alias("h1"))
-
-
 def bitmap(drops: Column, n_lines: Column) -> Column:
     """Run lengths of the keep bitmap, a kept run first, then a dropped one, and so on, a kept run last; they sum to ``n_lines``."""
     starts = F.filter(drops, lambda x, i: (i == 0) | (F.get(drops, i - 1) < x - 1))
@@ -114,7 +115,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = keyed.withColumn("th", F.xxhash64("text"))
     joined = keyed.join(drops, keyed["id"].eqNullSafe(drops["d_id"]) & (keyed["th"] == drops["d_th"]), "left")
     joined = joined.withColumn("drops", F.coalesce("drops", F.array().cast("array<int>")))
-    n_lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    n_lines = (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     new = F.struct(n_lines.alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"), bitmap(F.col("drops"), n_lines).alias("keep_bitmap"))
     # in two steps: an alias of the first may not capture a name that the second uses
     two = joined.select("row", new.alias("new"))

@@ -92,6 +92,7 @@ def brute_lines(rows, mode, min_docs, min_chars):
 def test_line_dedup_brute(spark, mode, min_docs, min_chars):
     rng = random.Random(3)
     rows = [(i, "\n".join(rng.choice(["A b", " a B\t", "É", "é", "common", "zz", "", f"own {i}"]) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    rows += [(7, "twice\nhere"), (7, "twice\nhere"), (8, "twice"), (9, "twice")]
     rows += [r for r in EDGE if r[0] != 5] + [(500, "common\n" * 3000 + "end")]
     out = line_dedup(docs_of(spark, rows, extra=True), mode=mode, min_docs=min_docs, min_chars=min_chars)
     got = out.select("doc_id", "text", "row", "n_lines", "n_dropped", F.size(expand(F.col("keep_bitmap"))).alias("bits"), kept_text(F.col("text"), F.col("keep_bitmap")).alias("kept")).collect()
