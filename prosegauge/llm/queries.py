@@ -11,8 +11,10 @@ import public_tokenizers
 
 from prosegauge.llm import packing
 from prosegauge.llm.decontaminate import decontaminate
+from prosegauge.llm.html_text import extract
 from prosegauge.llm.language import language_id
 from prosegauge.llm.lines import kept_text, line_dedup
+from prosegauge.llm.secret_scan import BASE, find_secrets, span_text
 from prosegauge.llm.simhash import hex16, near_dedup
 from prosegauge.sources import read_table
 
@@ -22,6 +24,12 @@ def _fold(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    found = read_table(spark, sf_dir, "pages").select("page_id", "url", extract(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 ids; the ids themselves stay with the workers."""
     out = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, emit_ids=False)
@@ -48,6 +56,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "r.lang_pred", "r.score")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: base kinds and entropy spans."""
+    found = read_table(spark, sf_dir, "documents").select("doc_id", find_secrets(F.col("text")).alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of benchmark items in all documents."""
     found = read_table(spark, sf_dir, "documents").select("doc_id", decontaminate(F.col("text"), read_table(spark, sf_dir, "benchmark"), window=10).alias("r"))
@@ -58,9 +74,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_pack": op2_pack,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
+    "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
 }
