@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from prosegauge.llm import packing
+from prosegauge.llm import hmm, packing
 from prosegauge.llm.decontaminate import decontaminate
 from prosegauge.llm.html_text import extract
 from prosegauge.llm.language import language_id
 from prosegauge.llm.lines import kept_text, line_dedup
+from prosegauge.llm.quality import quality
 from prosegauge.llm.secret_scan import BASE, find_secrets, span_text
 from prosegauge.llm.simhash import hex16, near_dedup
 from prosegauge.sources import read_table
@@ -42,6 +43,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(F.col("text"), F.col("keep_bitmap")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts under the hidden Markov model and its unigram base, learnt from rows outside the held-out fold."""
+    out = hmm.score(read_table(spark, sf_dir, "documents"), _fold("doc_id", 7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, links at two or fewer bits."""
     out = near_dedup(read_table(spark, sf_dir, "documents"), shingle=3, width=64, segments=2, max_bits=2)
@@ -73,12 +80,22 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from rows outside the held-out fold."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    train = _fold("doc_id", 5) != 0
+    scored = docs.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), quality(docs, docs.where(train), labels.where(train)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_pack": op2_pack,
+    "op3_hmm": op3_hmm,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
 }
