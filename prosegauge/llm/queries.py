@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from prosegauge.llm import hmm, packing
+from prosegauge.llm.ann import nearest
 from prosegauge.llm.decontaminate import decontaminate
 from prosegauge.llm.html_text import extract
 from prosegauge.llm.language import language_id
@@ -88,6 +89,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every vector whose id is divisible by 50."""
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_pack": op2_pack,
@@ -98,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
+    "op10_nearest": op10_nearest,
 }
