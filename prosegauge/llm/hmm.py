@@ -24,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +112,6 @@ _CODED = "ids binary, n_tokens long, known long, base double, rare double, n_rar
 
 def encode(rows: DataFrame, sent) -> DataFrame:
     """For ``rows`` (id, train, text binary): id, train, the text's symbols, what the lookup gives for its sums, and the words that need the join."""
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary())]
     names = [x.split()[0] for x in _CODED.split(", ")]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,17 +119,28 @@ def encode(rows: DataFrame, sent) -> DataFrame:
         logs, get, log_ends = np.log10(lex.counts + 1), lex.number.get, math.log10(lex.ends + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                part, out = batch.slice(at, ROWS), []
-                for t in part.column("text"):
-                    ws = words(t.as_py())
-                    found = np.array([get(w, -1) for w in ws], np.int64)
-                    tail = [ws[i] for i in np.flatnonzero(found < 0)]
-                    known = found[found >= 0]
-                    ids = np.where((found < 0) | (found >= lex.symbols), lex.rare, found)
-                    ids = np.append(ids, lex.end).astype("<u4")
-                    rare = logs[known[known >= lex.symbols]]
-                    out.append((ids.tobytes(), len(ids), len(known) + (lex.ends > 0), float(logs[known].sum()) + log_ends, float(rare.sum()), int((ids == lex.rare).sum()), tail))
-                made = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                part = batch.slice(at, ROWS)
+                n, texts = part.num_rows, [words(t.as_py()) for t in part.column("text")]
+                sizes = np.array([len(ws) for ws in texts])
+                flat = list(chain.from_iterable(texts))
+                found = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+                owner, seen = np.repeat(np.arange(n), sizes), found >= 0
+                log = np.zeros(len(flat))
+                log[seen] = logs[found[seen]]
+                rare = ~seen | (found >= lex.symbols)
+                ids = np.insert(np.where(rare, lex.rare, found), np.cumsum(sizes), lex.end).astype("<u2")
+                offsets = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)
+                lost = np.flatnonzero(~seen)
+                tails = np.concatenate([[0], np.cumsum(np.bincount(owner[lost], minlength=n))]).astype(np.int32)
+                made = [
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * offsets).tobytes()), pa.py_buffer(ids.tobytes())]),
+                    pa.array(sizes + 1, pa.int64()),
+                    pa.array(np.bincount(owner[seen], minlength=n) + (lex.ends > 0), pa.int64()),
+                    pa.array(np.bincount(owner, log, n) + log_ends, pa.float64()),
+                    pa.array(np.bincount(owner, log * rare, n), pa.float64()),
+                    pa.array(np.bincount(owner[rare], minlength=n), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(tails), pa.array([flat[i] for i in lost], pa.binary())),
+                ]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("train"), *made], names=["id", "train", *names])
 
     return rows.mapInArrow(code, f"id {rows.schema['id'].dataType.simpleString()}, train boolean, {_CODED}")
@@ -158,9 +169,10 @@ def lanes(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.array([len(s) for s in seqs])
     order = np.argsort(-size, kind="stable")
     size = size[order]
-    grid = np.zeros((len(seqs), size[0]), np.int64)
-    grid[np.arange(size[0])[None] < size[:, None]] = np.concatenate([seqs[i] for i in order])
-    return np.ascontiguousarray(grid.T), order, np.searchsorted(-size, -np.arange(size[0]), side="left")
+    grid = np.zeros((size[0], len(seqs)), np.uint16)
+    for lane, i in enumerate(order):
+        grid[: size[lane], lane] = seqs[i]
+    return grid, order, np.searchsorted(-size, -np.arange(size[0]), side="left")
 
 
 def likelihood(seqs: list[np.ndarray], m: Model) -> np.ndarray:
@@ -177,6 +189,17 @@ def likelihood(seqs: list[np.ndarray], m: Model) -> np.ndarray:
     return back
 
 
+def likelihoods(column: pa.Array, m: Model) -> np.ndarray:
+    """The same for a column of symbols, in groups of like length whose grids hold at most ABREAST cells (or one text)."""
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False) // 2
+    out, order, at = np.zeros(len(size)), np.argsort(-size, kind="stable"), 0
+    while at < len(order):
+        some = order[at : at + max(1, ABREAST // int(size[order[at]]))]
+        out[some] = likelihood([np.frombuffer(column[int(i)].as_buffer(), "<u2") for i in some], m)
+        at += len(some)
+    return out
+
+
 @dataclass
 class Expected:
     """Sums of expected counts over texts."""
@@ -200,46 +223,36 @@ class Expected:
             alphas.append(a / scales[-1][:, None])
         beta = np.ones((live[-1], len(m.start)))
         for t in range(steps - 1, -1, -1):
-            n = live[t]
             if t < steps - 1:
-                here = np.ones((n, len(m.start)))
-                ahead = m.emit[grid[t + 1, : len(beta)]] * beta / scales[t + 1][:, None]
-                self.move += m.move * (alphas[t][: len(beta)].T @ ahead)
-                here[: len(beta)] = ahead @ m.move.T
-                beta = here
-            gamma = alphas[t] * beta
-            alphas[t] = gamma / gamma.sum(1, keepdims=True)
+                n = len(beta)
+                ahead = m.emit[grid[t + 1, :n]]
+                ahead *= beta
+                ahead /= scales[t + 1][:, None]
+                self.move += m.move * (alphas[t][:n].T @ ahead)
+                beta = np.ones((live[t], len(m.start)))
+                beta[:n] = ahead @ m.move.T
+            # scaled forward times scaled backward is the posterior: it adds up to one
+            alphas[t] *= beta
         self.start += alphas[0][begins[: live[0]]].sum(0)
         seen, weight = np.concatenate([grid[t, :n] for t, n in enumerate(live)]), np.concatenate(alphas)
         for h in range(len(m.start)):
             self.emit[:, h] += np.bincount(seen, weight[:, h], len(self.emit))
 
 
-def _stretches(ids: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+def _stretches(ids: Iterator[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     some, first, held = [], [], 0
     for x in ids:
         for at in range(0, len(x), STRETCH):
             some.append(x[at : at + STRETCH])
             first.append(at == 0)
             held += len(some[-1])
-            if held > ABREAST // 2:
+            if held >= ABREAST // 4:
                 yield some, np.array(first)
                 some, first, held = [], [], 0
     if some:
         yield some, np.array(first)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Batches of about ABREAST tokens."""
-    for batch in batches:
-        size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)) // 4
-        cuts = np.searchsorted(size, np.arange(ABREAST, int(size[-1]) if len(size) else 0, ABREAST)).tolist()
-        edges = sorted({0, batch.num_rows, *(c + 1 for c in cuts)})
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            part = batch.slice(lo, hi - lo)
-            yield part, [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in part.column(column)]
-
-
 def expected_counts(coded: DataFrame, sent, states: int) -> DataFrame:
     """(symbol, s0, ...): expected counts over all rows. Symbols -1 - h are the moves out of state h, -1 - states the starts."""
     cols = [f"s{h}" for h in range(states)]
@@ -247,9 +260,8 @@ def expected_counts(coded: DataFrame, sent, states: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         total = Expected.none(m)
-        for _, ids in _texts(batches, "ids"):
-            for seqs, begins in _stretches(ids):
-                total.add(seqs, begins, m)
+        for seqs, begins in _stretches(np.frombuffer(x.as_buffer(), "<u2") for batch in batches for x in batch.column("ids")):
+            total.add(seqs, begins, m)
         seen = np.flatnonzero(total.emit.any(1))
         table = np.vstack([total.emit[seen], total.move, total.start[None]])
         symbol = np.concatenate([seen, -1 - np.arange(states + 1)])
@@ -279,8 +291,10 @@ def train(coded: DataFrame, lex: Lexicon, states: int, rounds: int) -> Model:
     return m
 
 
-def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "text", states: int = 8, rounds: int = 5, lookup: int = 250_000, symbols: int = 60_000) -> DataFrame:
+def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "text", states: int = 8, rounds: int = 4, lookup: int = 250_000, symbols: int = 60_000) -> DataFrame:
     """Per row of ``docs``: id, ``train``, n_tokens, n_known, train_tokens, base_score and score (log10). ``train_when``: which rows are learnt from."""
+    if symbols > 65_000:
+        raise ValueError("symbols are stored in 16 bits")
     sc = docs.sparkSession.sparkContext
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(train_when, F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
     counts = materialize(count_words(own.where("train").select("text")), "hmm-counts")
@@ -292,8 +306,7 @@ def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "
 
     @F.arrow_udf("double")
     def forward(ids: pa.Array) -> pa.Array:
-        out = [likelihood(x, sent.value) for _, x in _texts([pa.RecordBatch.from_arrays([ids], names=["ids"])], "ids")]
-        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        return pa.array(likelihoods(ids, sent.value), pa.float64())
 
     # words beyond the lookup meet their counts by a shuffle; the unseen add log10(0 + 1)
     tail = coded.select("key", F.explode("tail").alias("word")).join(counts, "word")
