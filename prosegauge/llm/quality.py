@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 FEATURES = ["log_words", "upper", "digits", "symbols", "bars", "stops", "commas", "word_length", "variety", "top_word", "lines", "line_variety", "loud_words", "edge_symbols", "spaces"]
 CUTS = 20
-STEPS, RATE, SHRINK = 500, 0.05, 1e-4
+STEPS, RATE, SHRINK = 250, 0.1, 1e-4
 
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 _PROSE = np.zeros(256, bool)
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return Model(cuts, w, bias, prior)
 
 
-def quality(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> Column:
+def quality(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 12_000) -> Column:
     """A double column for ``docs``: the probability of label 1. Learns from ``train`` and ``labels`` alone."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(train, labels, id_col, text_col, label_col, max_rows))
 

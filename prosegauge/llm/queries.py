@@ -68,7 +68,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: base kinds and entropy spans."""
     found = read_table(spark, sf_dir, "documents").select("doc_id", find_secrets(F.col("text")).alias("spans"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE]
     return found.select("doc_id", *counts, F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
