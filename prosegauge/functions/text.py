@@ -50,10 +50,14 @@ def syllables(word: Column) -> Column:
     return F.when(w == "", 0).otherwise(F.greatest(F.lit(1), n - silent.cast("int")))
 
 
-@F.pandas_udf("string")
-def nfkc(texts: pd.Series) -> pd.Series:
-    """The one step of normalising that has no built-in."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def nfkc(text: Column) -> Column:
+    """The one step of normalising that has no built-in. Made when called: a session must run by then."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return of(text)
 
 
 def normalise(text: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from prosegauge.functions import lexicons as L
 from prosegauge.operators.surface import STY
+from prosegauge.plans import corpus as C
+from prosegauge.plans import decide as V
 from prosegauge.plans import documents as P
-from prosegauge.plans.run import doubles
+from prosegauge.plans import store as S
+from prosegauge.plans.run import dialect
 
 
 def q(text: str) -> str:
@@ -135,10 +136,46 @@ FROM (SELECT doc_id, text, list_transform({_WORDS}, lambda x: lower(x)) AS l FRO
 
 def over(base: str, plan: str) -> str:
     """``plan`` for DuckDB, with ``base`` as further common tables."""
-    plan = re.sub(r"\bPCT\(", "quantile_cont(", doubles(plan).strip())
+    plan = dialect(plan, 1).strip()
+    if not base:
+        return plan
     return f"WITH {base}, {plan[4:].strip()}" if plan.upper().startswith("WITH") else f"WITH {base} {plan}"
 
 
+_KEY = f"trim(regexp_replace(lower(coalesce(text, '')), {q(_B + '+')}, ' ', 'g'))"
+KEYED = f"keyed AS (SELECT *, md5({_KEY}) AS key_hash FROM documents)"
+_SPACED = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), {q(_B + '+')}), lambda x: x <> '')"
+
+
+def _shingles(name: str, key: str, table: str, as_key: str) -> str:
+    return f"""{name} AS (SELECT DISTINCT {as_key}, md5(list_aggregate(w[i:i + 4], 'string_agg', ' ')) AS shingle FROM (SELECT {key} AS {as_key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {key}, {_SPACED} AS w FROM {table})))"""
+
+
+SHINGLES = _shingles("left_shingles", "doc_id", "documents", "doc_id") + ", " + _shingles("right_shingles", "item_id", "benchmark", "ref_id")
+SELF_SHINGLES = _shingles("left_shingles", "doc_id", "(SELECT * FROM documents WHERE doc_id % 10 >= 7)", "doc_id") + ", " + _shingles("right_shingles", "doc_id", "(SELECT * FROM documents WHERE doc_id % 10 < 7)", "ref_id")
+_FEATURES = ["bur_mean_sent_len", "bur_cv_sent_len", "bur_burstiness_index", "bur_sent_len_entropy", "bur_cv_word_len"]
+MELTED = (
+    SURF
+    + ", rhythm AS (SELECT * FROM ("
+    + dialect(P.RHYTHM, 1).strip()
+    + ")), melted AS (SELECT l.doc_id, b.quality, l.feature, l.value::DOUBLE AS value FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS feature, {f} AS value FROM rhythm" for f in _FEATURES)
+    + ") l LEFT JOIN labels b USING (doc_id))"
+)
+VECTORS = "vectors AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)"
+FOLDED = f"words AS (SELECT doc_id, doc_id % 2 AS fold, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS n FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''\\-]*'), lambda x: lower(x)) AS l FROM documents))"
+TEXTS = f"""texts0 AS (SELECT conv_id * 1000 + turn AS id, role AS label, text FROM conversations WHERE role <> 'system'), texts AS (SELECT id, label FROM texts0),
+padded AS (SELECT id, ' ' || unnest({_SPACED}) || ' ' AS p FROM texts0),
+grams AS (SELECT id, unnest(CASE WHEN len(p) <= k THEN CASE WHEN k = 3 OR len(p) > k - 1 THEN [p] ELSE [] END ELSE list_transform(range(1, len(p) - k + 2), lambda i: substr(p, i, k)) END) AS gram FROM padded, (SELECT unnest([3, 4, 5]) AS k))"""
+_W = [f"((doc_id * {m} % 101) + 1 + CASE WHEN y = {k} THEN 60 ELSE 0 END)::DOUBLE" for k, m in enumerate((37, 53, 71))]
+PRED = (
+    "base AS (SELECT d.doc_id, lang, source, len(text) AS n_chars, ((quality + d.doc_id) % 3)::INTEGER AS y FROM documents d JOIN labels USING (doc_id)), pred AS (SELECT doc_id, lang, source, y, "
+    + ", ".join(f"{w} / ({' + '.join(_W)}) AS p{k}" for k, w in enumerate(_W))
+    + ", (n_chars // 60)::BIGINT AS n_sentences, (n_chars // 6)::BIGINT AS n_words FROM base)"
+)
+SCORED = SENT + f", scored AS (SELECT doc_id, sent_id, para_id, len({_WORDS}) AS n_words, ((doc_id * 131 + sent_id * 17) % 1000) / 1000.0::DOUBLE AS score FROM s0)"
+_PHONE = r"(^|[^0-9])(\+?[0-9][0-9\s().-]{7,}[0-9])"
+
 ORACLES: dict[str, str] = {
     "sentence_split": f'WITH {SENT} SELECT doc_id, sent_id, para_id, "start", "end", text FROM s0',
     "paragraph_spans": f'WITH {SENT} SELECT doc_id, para_id, count(*) AS n_sentences, min("start") AS "start", max("end") AS "end" FROM s0 GROUP BY doc_id, para_id',
@@ -152,4 +189,42 @@ ORACLES: dict[str, str] = {
     "context_zscores": over(SURF, P.CONTEXT),
     "changepoints": over(SURF, P.CHANGEPOINTS),
     "agg_sentence_features": over(SURF, P.ROLLUP),
+    "validate_documents": f"""SELECT doc_id, CASE WHEN regexp_replace(coalesce(text, ''), {q(_B)}, '', 'g') = '' THEN 'empty' WHEN len(text) > 60000 THEN 'too_long' WHEN len(text) < 200 THEN 'too_short' ELSE 'ok' END AS status,
+        len(coalesce(text, ''))::BIGINT AS n_chars, len({_SPACED})::BIGINT AS n_words, sha256(coalesce(text, '') || chr(0) || '1.0.0' || chr(0) || '1.0.0') AS content_hash FROM documents""",
+    "exact_duplicates": over(KEYED, C.EXACT_DUPLICATES),
+    "dedup_keep_first": over(KEYED, C.KEEP_FIRST),
+    "assign_splits": over(KEYED, C.ASSIGN_SPLITS),
+    "split_manifest": over("", C.MANIFEST),
+    "leakage_audit_benchmark": over(SHINGLES, C.LEAKAGE),
+    "leakage_audit_docs": over(SELF_SHINGLES, C.LEAKAGE),
+    "reference_percentiles": over(MELTED, C.REFERENCE),
+    "percentile_lookup": over(MELTED, C.PERCENTILE_LOOKUP),
+    "iqr_outliers": over(MELTED, C.OUTLIERS),
+    "centroid_cosine_embeddings": over(VECTORS, C.NEAREST_CENTROID),
+    "ngram_lm_scores": over(FOLDED, C.NGRAM_SCORES),
+    "lm_features": over(FOLDED, C.LM_FEATURES),
+    "char_tfidf_similarity": over(TEXTS, C.TFIDF),
+    "verdict_rules": over(PRED, V.VERDICT),
+    "sentence_bands": over(SCORED, V.SENTENCE_BAND),
+    "paragraph_rollup": over(SCORED, V.ROLLUP),
+    "confusion_metrics": over(PRED, V.CONFUSION),
+    "classification_summary": over(PRED, V.SUMMARY),
+    "ece_reliability": over(PRED, V.RELIABILITY),
+    "auc_by_class": over(PRED, V.AUC),
+    "roc_pr_curves": over(PRED, V.CURVES),
+    "losses": over(PRED, V.LOSSES),
+    "slice_metrics": over(PRED, V.SLICES),
+    "wilson_bias_by_language": over(PRED, V.BIAS),
+    "confident_errors": over(PRED, V.CONFIDENT_ERRORS),
+    "error_rates": over(PRED, V.ERROR_RATES),
+    "scrub_pii": f"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, {q(chr(91) + 'a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+' + chr(92) + '.[a-zA-Z0-9_.]+')}, '<email>', 'g'), {q(_PHONE)}, '\\1<phone>', 'g'), '\\b[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}\\b', '<ssn>', 'g')) AS scrubbed FROM documents",
+    "latest_status": over("", S.LATEST),
+    "retention_purge": over("", S.PURGE),
+    "cascade_delete": over("", S.CASCADE),
+    "insert_if_absent": over("", S.UPSERT),
+    "recent_page": over("", S.PAGE),
+    "rate_limit_fixed": over("", S.FIXED_LIMIT),
+    "event_tumbling_counts": over("", S.TUMBLING),
+    "health_rollup": over("", S.HEALTH),
+    "joined_results": over("", S.JOINED_RESULTS),
 }

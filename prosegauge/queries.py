@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosegauge.functions import text as T
+from prosegauge.operators import corpus as C
+from prosegauge.operators import decide as V
 from prosegauge.operators import document as D
 from prosegauge.operators import segment
 from prosegauge.operators.surface import STY
+from prosegauge.plans import corpus as PC
+from prosegauge.plans import decide as PV
+from prosegauge.plans import store as PS
+from prosegauge.plans.run import run
 from prosegauge.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +30,46 @@ def _surface(docs: DataFrame) -> DataFrame:
     return D.sentence_features(docs).select("doc_id", "sent_id", *(F.round(c, 6).alias(c) for c in STY))
 
 
+def _whole(op: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: op(read_table(spark, sf_dir, "documents"))
+
+
+def _leak_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "ref_id")
+    return C.leakage(read_table(spark, sf_dir, "documents"), items)
+
+
+def _leak_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the last three in ten ids (test and validation here) against all others (train)."""
+    docs = read_table(spark, sf_dir, "documents")
+    return C.leakage(docs.where(F.col("doc_id") % 10 >= 7), docs.where(F.col("doc_id") % 10 < 7).withColumnRenamed("doc_id", "ref_id"))
+
+
+def _on_melted(plan: str) -> Query:
+    return lambda spark, sf_dir: run(spark, plan, melted=C.melted(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").where("role <> 'system'")
+    return C.char_similarity(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("label"), "text"))
+
+
+def _on_pred(plan: str) -> Query:
+    return lambda spark, sf_dir: V.over_predictions(plan)(V.stand_in_predictions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
+def _on_scores(plan: str) -> Query:
+    return lambda spark, sf_dir: V.over_scores(plan)(V.stand_in_scores(D.sentence_words(read_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def _on_tables(plan: str, *tables: str) -> Query:
+    return lambda spark, sf_dir: run(spark, plan, **{t: read_table(spark, sf_dir, t) for t in tables})
+
+
+def _scrubbed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.sha2(T.scrub(F.col("text")).cast("binary"), 256).alias("scrubbed"))
+
+
 QUERIES: dict[str, Query] = {
     "sentence_split": _on_documents(segment.sentences),
     "paragraph_spans": _on_documents(segment.paragraphs),
@@ -36,4 +83,41 @@ QUERIES: dict[str, Query] = {
     "context_zscores": _on_documents(D.context),
     "changepoints": _on_documents(D.changepoints),
     "agg_sentence_features": _on_documents(D.rollup),
+    "validate_documents": _whole(C.validated),
+    "exact_duplicates": _whole(C.exact_duplicates),
+    "dedup_keep_first": _whole(C.keep_first),
+    "assign_splits": _whole(C.assign_splits),
+    "split_manifest": _on_tables(PC.MANIFEST, "documents"),
+    "leakage_audit_benchmark": _leak_benchmark,
+    "leakage_audit_docs": _leak_docs,
+    "reference_percentiles": _on_melted(PC.REFERENCE),
+    "percentile_lookup": _on_melted(PC.PERCENTILE_LOOKUP),
+    "iqr_outliers": _on_melted(PC.OUTLIERS),
+    "centroid_cosine_embeddings": lambda spark, sf_dir: C.nearest_centroid(read_table(spark, sf_dir, "embeddings")),
+    "ngram_lm_scores": _on_documents(C.ngram_scores),
+    "lm_features": _on_documents(C.lm_features),
+    "char_tfidf_similarity": _turns,
+    "verdict_rules": _on_pred(PV.VERDICT),
+    "sentence_bands": _on_scores(PV.SENTENCE_BAND),
+    "paragraph_rollup": _on_scores(PV.ROLLUP),
+    "confusion_metrics": _on_pred(PV.CONFUSION),
+    "classification_summary": _on_pred(PV.SUMMARY),
+    "ece_reliability": _on_pred(PV.RELIABILITY),
+    "auc_by_class": _on_pred(PV.AUC),
+    "roc_pr_curves": _on_pred(PV.CURVES),
+    "losses": _on_pred(PV.LOSSES),
+    "slice_metrics": _on_pred(PV.SLICES),
+    "wilson_bias_by_language": _on_pred(PV.BIAS),
+    "confident_errors": _on_pred(PV.CONFIDENT_ERRORS),
+    "error_rates": _on_pred(PV.ERROR_RATES),
+    "scrub_pii": _whole(_scrubbed),
+    "latest_status": _on_tables(PS.LATEST, "events"),
+    "retention_purge": _on_tables(PS.PURGE, "events"),
+    "cascade_delete": _on_tables(PS.CASCADE, "orders", "customer"),
+    "insert_if_absent": _on_tables(PS.UPSERT, "customer", "orders"),
+    "recent_page": _on_tables(PS.PAGE, "events"),
+    "rate_limit_fixed": _on_tables(PS.FIXED_LIMIT, "events"),
+    "event_tumbling_counts": _on_tables(PS.TUMBLING, "events"),
+    "health_rollup": _on_tables(PS.HEALTH, "events"),
+    "joined_results": _on_tables(PS.JOINED_RESULTS, "customer", "orders"),
 }
