@@ -20,7 +20,7 @@ def sentence_features(docs: DataFrame) -> DataFrame:
 
 def tokens(sents: DataFrame) -> DataFrame:
     """(doc_id, sent_id, pos, n, w, content, dull): the words of ``sents`` (with ``words``); n numbers a document's words from 0."""
-    t = sents.select("doc_id", "sent_id", F.posexplode("words").alias("pos", "w"))
+    t = sents.select("doc_id", "sent_id", F.posexplode_outer("words").alias("pos", "w")).where("w is not null")
     flag = lambda yes: F.when(yes, 1).otherwise(0)
     # sent_id and pos order the words; as one number they order windows just as well
     return t.withColumns({"n": F.col("sent_id") * (1 << 24) + F.col("pos"), "content": flag(~F.col("w").isin(*L.FUNCTION_WORDS)), "dull": flag(F.col("w").isin(*P.DULL))})

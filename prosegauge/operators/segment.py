@@ -51,9 +51,10 @@ def paragraph_starts(text: Column) -> Column:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_id, para_id, start, end, text); ids count from 0 without gaps, empty pieces are dropped."""
-    # paragraph starts first: beside the generator they would be computed for each sentence
+    # paragraph starts first: beside the generator they would be computed for each sentence. The outer form: for the
+    # plain one a filter on the number of pieces is inferred, which splits each text twice
     starts = docs.select("doc_id", "text", paragraph_starts(F.col("text")).alias("paras"))
-    pieces = starts.select("doc_id", "paras", F.posexplode(F.split(marked(F.col("text")), NEXT, -1)).alias("i", "piece"))
+    pieces = starts.select("doc_id", "paras", F.posexplode_outer(F.split(marked(F.col("text")), NEXT, -1)).alias("i", "piece"))
     has_gap = F.when(F.col("piece").contains(END), 1).otherwise(0)
     by = Window.partitionBy("doc_id").orderBy("i")
     parts = pieces.withColumns({"raw": F.split_part(F.col("piece"), F.lit(END), F.lit(1)), "n": F.length("piece") - has_gap})
