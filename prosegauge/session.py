@@ -25,6 +25,20 @@ def build_session(app: str = "prosegauge", master: str | None = None, **conf: st
     return b.getOrCreate()
 
 
+#: Arrow batches of whole texts: rows and bytes at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def bounded_batches(spark: SparkSession | None = None) -> None:
+    """Lowers the session's Arrow batch sizes to ``BATCH`` where they are larger: rows here are whole texts, and 10,000 of them, in
+    the JVM's buffers and again in each Python worker, are most of a small executor's memory."""
+    spark = spark or SparkSession.active()
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is not None and not 0 < int(str(now).lower().rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     known = spark.conf.get("spark.checkpoint.dir", None)
