@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.session import bounded_batches
+
 #: A-Z to a-z, a-z, 0-9 and all bytes of non-ASCII letters as they are, anything else to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -185,6 +187,7 @@ def build(items: DataFrame, id_col: str, text_col: str, window: int, block_words
 def decontaminate(text: Column, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = 10, min_span: int = 1, block_words: int = 200_000) -> Column:
     """A struct column: n_words, n_hit, items, spans (code points of ``text``, end exclusive) and ``clean``, the text without
     spans of ``min_span`` words or more (null: nothing to cut)."""
+    bounded_batches(items.sparkSession)
     sc = items.sparkSession.sparkContext
     sent = [sc.broadcast(a) for a in build(items, item_id, item_text, window, block_words)]
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.session import materialize
+from prosegauge.session import bounded_batches, materialize
 
 #: The end token's own entry in the tables of counts: no word has white space in it.
 END = b"\n"
@@ -295,6 +295,7 @@ def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "
     """Per row of ``docs``: id, ``train``, n_tokens, n_known, train_tokens, base_score and score (log10). ``train_when``: which rows are learnt from."""
     if symbols > 65_000:
         raise ValueError("symbols are stored in 16 bits")
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(train_when, F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
     counts = materialize(count_words(own.where("train").select("text")), "hmm-counts")

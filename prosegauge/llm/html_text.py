@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from prosegauge.session import bounded_batches
+
 # Elements by how HTML treats them.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "noframes", "title", "textarea", "select", "canvas", "audio", "video", "head", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -231,6 +233,7 @@ def main_text(html: str | None) -> str:
 
 def extract(html: Column) -> Column:
     """The main text of each page."""
+    bounded_batches()
 
     @F.arrow_udf("string")
     def of(pages: pa.Array) -> pa.Array:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosegauge.session import bounded_batches
+
 UND = "und"
 PIECE = 400
 SEGMENT = 512
@@ -185,6 +187,7 @@ def decide(texts: list[str | None], parser: Parser, sharpness: float = 4.0) -> l
 
 def language_id(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 40_000) -> Column:
     """A struct column for ``docs``: lang_pred, score, entropy (bits a character; null for ``und``). Learns from ``labelled`` alone."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(labelled, text_col, lang_col, id_col, sample_chars))
 
     @F.arrow_udf("lang_pred string, score double, entropy double")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.session import materialize
+from prosegauge.session import bounded_batches, materialize
 
 END = 0
 #: Partitions whose leftovers one task merges at a time.
@@ -200,6 +200,7 @@ def _merger(size: int, last_level: bool, emit_ids: bool, base: int):
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, open_windows: int = 16, emit_ids: bool = True) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (little-endian unsigned 32 bits; null without ``emit_ids``)."""
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     placed = materialize(own.mapInArrow(_placer(ranks_path, pattern, size, open_windows, emit_ids), _schema(kind)), "packing")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.session import bounded_batches
+
 FEATURES = ["log_words", "upper", "digits", "symbols", "bars", "stops", "commas", "word_length", "variety", "top_word", "lines", "line_variety", "loud_words", "edge_symbols", "spaces"]
 CUTS = 20
 STEPS, RATE, SHRINK = 250, 0.1, 1e-4
@@ -159,6 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 def quality(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 12_000) -> Column:
     """A double column for ``docs``: the probability of label 1. Learns from ``train`` and ``labels`` alone."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(train, labels, id_col, text_col, label_col, max_rows))
 
     @F.arrow_udf("double")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosegauge.session import materialize
+from prosegauge.session import bounded_batches, materialize
 
 #: Entries of one key that a new entry is paired with directly.
 SPAN = 8
@@ -193,6 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, shingle: int, width: int, segments: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """For ``docs`` (id, text): one row per document (id, th, fp), and one per fingerprint (fp, first), the component's smallest (id, th)."""
+    bounded_batches(docs.sparkSession)
     own = docs.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), fingerprint_column(F.col("text"), shingle, width).alias("fp"))
     prints = materialize(own, "simhash-prints")
     # a null id sorts first in a struct; it must not win over an id
