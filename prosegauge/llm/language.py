@@ -30,7 +30,7 @@ UND = "und"
 PIECE = 400
 SEGMENT = 512
 #: Characters parsed abreast, a bound on a worker's memory.
-ABREAST = 1 << 21
+ABREAST = 1 << 20
 SPACE = 0
 
 
@@ -154,7 +154,9 @@ def entropies(texts: list[str], parser: Parser) -> tuple[np.ndarray, np.ndarray]
     out = np.zeros((len(texts), len(parser.langs)))
     if len(owner):
         steps = np.arange(length[0])
-        lanes = flat[np.minimum(start[None, :] + steps[:, None], len(flat) - 1)]
+        lanes = np.zeros((len(steps), len(start)), np.int32)
+        for t in steps:
+            lanes[t] = flat[np.minimum(start + t, len(flat) - 1)]
         active = np.searchsorted(-length, -steps, side="left")
         for j, (table, bits) in enumerate(zip(parser.tables, parser.bits, strict=True)):
             out[:, j] = np.bincount(owner, phrases(lanes, active, table), len(texts)) * bits
