@@ -89,23 +89,24 @@ def _hamming(a: list[Column], b: list[Column]) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def _bits(lo: int, n: int) -> Column:
-    """Bits lo to lo + n of the fingerprint, which may lie across two words; n is at most 63."""
-    word, at = divmod(lo, WORD)
-    out = F.shiftrightunsigned(F.col(f"f{word}"), at)
-    if at + n > WORD:
-        out = out.bitwiseOR(F.shiftleft(F.col(f"f{word + 1}"), WORD - at))
-    return out.bitwiseAND(F.lit((1 << n) - 1))
+def _variants(fps: DataFrame, width: int, segments: int) -> DataFrame:
+    """(f0, ..., slot, rest): slot is the bit left out, rest the other bits of its segment; ``width`` rows a fingerprint.
 
-
-def _variants(width: int, segments: int) -> Column:
-    """Array of (slot, rest): the bit left out, and the others of its segment."""
+    Places and masks are rows of one constant array and the bits one expression over them: an expression for each bit would make a
+    generated method whose compilation takes more memory than the data.
+    """
     edges = [round(i * width / segments) for i in range(segments + 1)]
-    out = []
+    places = []
     for lo, hi in zip(edges, edges[1:], strict=False):
-        for i in range(hi - lo):
-            out.append(F.struct(F.lit(lo + i).alias("slot"), _bits(lo, hi - lo).bitwiseAND(F.lit(~(1 << i))).alias("rest")))
-    return F.array(*out)
+        word, at = divmod(lo, WORD)
+        over = WORD - at if at + hi - lo > WORD else -1
+        places += [f"named_struct('slot', {lo + i}, 'word', {word}, 'at', {at}, 'over', {over}, 'mask', {((1 << (hi - lo)) - 1) & ~(1 << i)}L)" for i in range(hi - lo)]
+    own = f"element_at(array({', '.join(names(width))}), v.word + 1)"
+    rest = f"shiftrightunsigned({own}, v.at)"
+    if any("'over', -1" not in p for p in places):
+        rest = f"({rest} | if(v.over < 0, 0L, shiftleft(element_at(array({', '.join(names(width))}, 0L), v.word + 2), v.over)))"
+    placed = fps.select(*names(width), F.expr(f"explode(array({', '.join(places)}))").alias("v"))
+    return placed.select(*names(width), F.col("v.slot").alias("slot"), F.expr(f"{rest} & v.mask").alias("rest"))
 
 
 def _ball_links(fps: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def _block_links(entries: DataFrame, width: int, max_bits: int) -> DataFrame:
 def links(fps: DataFrame, width: int, segments: int, max_bits: int) -> DataFrame:
     """Links (a, b), structs, that give the components of the distinct fingerprints ``fps`` (f0, ...)."""
     f, g = names(width), names(width, "g")
-    keyed = fps.select(*f, F.explode(_variants(width, segments)).alias("v")).select(*f, "v.slot", "v.rest")
+    keyed = _variants(fps, width, segments)
     # a fingerprint has as many entries as bits: so many more partitions, for tasks of a common size
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")) * max(1, width // 32)
     keyed = keyed.repartition(parts, "rest", "slot")
