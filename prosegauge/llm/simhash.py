@@ -156,9 +156,6 @@ def links(fps: DataFrame, width: int, segments: int, max_bits: int) -> DataFrame
     """Links (a, b), structs, that give the components of the distinct fingerprints ``fps`` (f0, ...)."""
     f, g = names(width), names(width, "g")
     keyed = _variants(fps, width, segments)
-    # a fingerprint has as many entries as bits: so many more partitions, for tasks of a common size
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")) * max(1, width // 32)
-    keyed = keyed.repartition(parts, "rest", "slot")
     w = Window.partitionBy("rest", "slot")
     before = F.collect_list(F.struct(*(F.col(x).alias(y) for x, y in zip(f, g, strict=True)))).over(w.orderBy(*f).rowsBetween(-SPAN, -1))
     entries = keyed.select("slot", "rest", *f, F.count("slot").over(w).alias("size"), before.alias("before")).where("size > 1")
