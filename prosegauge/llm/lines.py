@@ -111,11 +111,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"unknown mode {mode!r}")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     drops = drop_table(own, mode, min_docs, min_chars, partitions).select(F.col("id").alias("d_id"), F.col("th").alias("d_th"), "drops")
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    keyed = keyed.withColumn("th", F.xxhash64("text"))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    # the row holds the text; a second copy would double what the join shuffles
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"))
     joined = keyed.join(drops, keyed["id"].eqNullSafe(drops["d_id"]) & (keyed["th"] == drops["d_th"]), "left")
-    joined = joined.withColumn("drops", F.coalesce("drops", F.array().cast("array<int>")))
-    n_lines = (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    joined = joined.select("row", F.coalesce("drops", F.array().cast("array<int>")).alias("drops"))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     new = F.struct(n_lines.alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"), bitmap(F.col("drops"), n_lines).alias("keep_bitmap"))
     # in two steps: an alias of the first may not capture a name that the second uses
     two = joined.select("row", new.alias("new"))
