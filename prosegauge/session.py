@@ -29,10 +29,6 @@ def build_session(app: str = "prosegauge", master: str | None = None, **conf: st
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
-#: What Python workers allocate goes back to the system when it is freed.
-WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "200000"}
-
-
 def bounded_batches(spark: SparkSession | None = None) -> None:
     """Lowers the session's Arrow batch sizes to ``BATCH`` where they are larger: rows here are whole texts, and 10,000 of them, in
     the JVM's buffers and again in each Python worker, are most of a small executor's memory."""
@@ -41,8 +37,6 @@ def bounded_batches(spark: SparkSession | None = None) -> None:
         now = spark.conf.get(key, None)
         if now is not None and not 0 < int(str(now).lower().rstrip("b")) <= most:
             spark.conf.set(key, str(most))
-    for key, value in WORKERS.items():
-        spark.sparkContext.environment.setdefault(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
