@@ -12,6 +12,7 @@ from prosegauge.operators import corpus as C
 from prosegauge.operators import decide as V
 from prosegauge.operators import document as D
 from prosegauge.operators import segment
+from prosegauge.operators.limiter import sliding_limit
 from prosegauge.operators.surface import STY
 from prosegauge.plans import corpus as PC
 from prosegauge.plans import decide as PV
@@ -120,4 +121,5 @@ QUERIES: dict[str, Query] = {
     "event_tumbling_counts": _on_tables(PS.TUMBLING, "events"),
     "health_rollup": _on_tables(PS.HEALTH, "events"),
     "joined_results": _on_tables(PS.JOINED_RESULTS, "customer", "orders"),
+    "rate_limit_sliding": lambda spark, sf_dir: sliding_limit(read_table(spark, sf_dir, "events")),
 }
