@@ -161,7 +161,8 @@ def links(fps: DataFrame, width: int, segments: int, max_bits: int) -> DataFrame
     entries = keyed.select("slot", "rest", *f, F.count("slot").over(w).alias("size"), before.alias("before")).where("size > 1")
     # verified where they stand: what is written and unfolded are links, not candidates
     linked = F.filter("before", lambda b: _hamming([F.col(x) for x in f], [b[y] for y in g]) <= max_bits)
-    entries = entries.withColumn("before", linked).where((F.size("before") > 0) | (F.col("size") > SPAN + 1))
+    # the exact second way finds all links of a crowded key, with one row an entry; here they would come several times
+    entries = entries.withColumn("before", F.when(F.col("size") <= SPAN + 1, linked)).where((F.size("before") > 0) | (F.col("size") > SPAN + 1))
     kept = materialize(entries, "simhash-entries")
     near = kept.select(*f, F.explode("before").alias("b")).select(*f, "b.*")
     crowd = kept.where(F.col("size") > SPAN + 1)
