@@ -14,7 +14,7 @@ from prosegauge.llm import packing
 from prosegauge.llm.decontaminate import remove_contamination
 from prosegauge.llm.language import UND, language_id
 from prosegauge.llm.lines import kept_text, line_dedup
-from prosegauge.llm.simhash import keep_one
+from prosegauge.llm.shingle_join import keep_one
 from prosegauge.session import materialize
 from prosegauge.sources import read_table
 
@@ -40,8 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays. 30 of 192 bits are a similarity of 0.8 of five-word shingles."""
-    return keep_one(docs, shingle=5, width=192, segments=9, max_bits=30)
+    """Of each group the document with the smallest id stays. Links are all pairs whose sets of five-word shingles are similar to 0.8 or more."""
+    return keep_one(docs, shingle=5)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,177 @@
+"""Near-dedup by exact similarity of shingle sets: every pair of texts at a Jaccard similarity of 0.8 or more is a link, and no other pair is.
+
+Sets. A-Z to lower case, words ``[^\\x20\\x09-\\x0D]+``, the distinct XXH64 (seed 42) of ``shingle``-word shingles (fewer words make one shingle,
+none at all the empty one). Texts that are equal are one member from the start.
+
+Candidates. Under any one order of all shingles, two sets of similarity 0.8 or more share a shingle among the first ``n - ceil(0.8 n) + 1`` of each
+(prefix filter), so those shingles are the index and no pair is missed. The order is by hash, with shingles that a sketch names as very frequent
+last: that keeps them out of the index unless a text consists of them, and changes no result.
+
+Links. Each entry of a key is paired with the ``SPAN`` entries before it. Keys with more entries than that and with more than one component after
+this step are searched besides in blocks, each two blocks whole, for pairs of different components. A bitmap of each set gives an upper bound
+of what two sets share (each bit that only one has is a shingle that only one has); pairs under the threshold by that bound go, all others
+are verified on the whole sets. No candidate is dropped that could be a link.
+
+Groups are the components of the links; the document of the smallest id stays (a null id is never the smallest beside another).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from prosegauge.llm.simhash import components
+from prosegauge.session import bounded_batches, materialize
+
+SPAN = 8
+#: Entries of a crowded key that one task compares with each other.
+BLOCK = 2_000
+HOT, TRACKED = 1_000, 10_000
+#: Words of 64 bits in a set's bitmap, at least; twice as many bits as shingles, up to a power of two, in large sets.
+BITS = 16
+#: So many pairs, at most, have the members that they name broadcast.
+NAMED = 500_000
+
+
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of one text in UTF-8, as signed longs."""
+    words = (text or b"").lower().split()  # bytes: only A-Z change, only ASCII white space parts
+    rows = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) > shingle else [words]
+    h64 = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h64(b" ".join(q), 42) for q in rows), np.uint64).view(np.int64))
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Which of the classes by their low bits the hashes fall in, as signed longs: BITS or a larger power of two."""
+    size = 64 * max(BITS, 1 << (-(-len(hashes) // 32) - 1).bit_length())
+    seen = np.zeros(size, bool)
+    seen[hashes & (size - 1)] = True
+    return np.packbits(seen).view(np.int64)
+
+
+def shingle_column(text: Column, shingle: int) -> Column:
+    """A struct of the set and its bitmap."""
+
+    @F.arrow_udf("struct<set: array<long>, bits: array<long>>")
+    def of(texts: pa.Array) -> pa.Array:
+        found = [shingles(t.as_py(), shingle) for t in texts.cast(pa.binary())]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+        maps = [bitmap(x) for x in found]
+        bits = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, maps)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
+        return pa.StructArray.from_arrays([sets, bits], ["set", "bits"])
+
+    return of(text)
+
+
+def _similar(common: Column | np.ndarray, n: Column | np.ndarray, m: Column | np.ndarray):
+    """Jaccard similarity of 0.8 or more, in whole numbers."""
+    return common * 9 >= (n + m) * 4
+
+
+def _only(x: Column, y: Column) -> Column:
+    """Bits of ``x`` that ``y`` has not."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+
+
+def _folded(x: Column, y: Column) -> Column:
+    """The bitmap ``x`` at the size of ``y``, if that is half of its own (sets that may be similar differ by no more)."""
+    n = F.size(y)
+    return F.when(F.size(x) > n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseOR(q))).otherwise(x)
+
+
+def possible(maps: list[np.ndarray], n: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of different ``root`` that may be similar by their bitmaps (uint64) and sizes ``n``."""
+    size = np.array([len(m) for m in maps])
+    for k in np.unique(size):
+        # all pairs whose smaller bitmap has k words
+        at = np.flatnonzero((size == k) | (size == 2 * k))
+        words = np.array([maps[i] if size[i] == k else maps[i][:k] | maps[i][k:] for i in at])
+        for j, x in enumerate(at):
+            y = np.arange(j + 1, len(at))
+            z = at[y]
+            ok = (root[z] != root[x]) & _similar(np.minimum(n[z], n[x]), n[z], n[x]) & (np.minimum(size[z], size[x]) == k)
+            y, z = y[ok], z[ok]
+            most = np.minimum(n[x] - np.bitwise_count(words[j] & ~words[y]).sum(1, dtype=np.int64), n[z] - np.bitwise_count(words[y] & ~words[j]).sum(1, dtype=np.int64))
+            yield from ((x, q) for q in z[_similar(most, n[z], n[x])])
+
+
+def _hot(sets: DataFrame) -> list[int]:
+    row = sets.select(F.explode("set").alias("h")).agg(F.expr(f"approx_top_k(h, {HOT}, {TRACKED})").alias("top"), F.count("h").alias("n")).first()
+    # the sketch's own error, twice: what is named is frequent indeed (this only orders shingles)
+    return [x["item"] for x in row["top"] if x["count"] >= max(100, 7 / 16_384 * row["n"])] if row["n"] else []
+
+
+def _crowd_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs within each crowded key (h, node, size, root) that may link, over blocks of about ``BLOCK`` entries, each with each other."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    others = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != F.col("mine")))
+    dealt = crowd.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(others))
+    dealt = dealt.select("h", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "root").join(sets.select("node", F.size("set").alias("n"), "bits"), "node")
+
+    def span(table: pa.Table) -> pa.Table:
+        nodes, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+        lists = table.column("bits").combine_chunks()
+        maps = np.split(lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+        pairs = np.array(list(possible(maps, n.astype(np.int64), root)), np.int64).reshape(-1, 2)
+        return pa.table([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
+
+    return dealt.groupBy("h", "lo", "hi").applyInArrow(span, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, written to the shared folder."""
+    n = pairs.count()
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    own = sets.select("node", "set").join(F.broadcast(named) if n <= NAMED else named, "node", "left_semi")
+    two = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
+    return materialize(two.where(_similar(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"), "shingle-links")
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that give the components of ``sets`` (node, set, bits), one row a node."""
+    hot = _hot(sets)
+    last = F.concat(F.filter("set", lambda x: ~x.isin(hot)), F.filter("set", lambda x: x.isin(hot))) if hot else F.col("set")
+    n = F.size("set")
+    prefix = F.slice(last, 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1)
+    keyed = sets.select("node", n.alias("n"), prefix.alias("p")).select("node", "n", F.explode("p").alias("h"))
+    w = Window.partitionBy("h")
+    before = F.collect_list(F.struct(F.col("node").alias("b"), F.col("n").alias("m"))).over(w.orderBy("n", "node").rowsBetween(-SPAN, -1))
+    entries = keyed.select("h", "node", "n", F.count("h").over(w).alias("size"), before.alias("before")).where("size > 1")
+    # sets of very unlike sizes cannot link
+    entries = materialize(entries.withColumn("before", F.filter("before", lambda x: x["m"] * 5 >= F.col("n") * 4)), "shingle-entries")
+    pairs = entries.select(F.col("node").alias("a"), F.explode("before").alias("x")).select("a", F.col("x.b").alias("b")).distinct()
+    small = sets.select("node", n.alias("n"), "bits")
+    both = pairs.join(small.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bits").alias("p")), "a")
+    both = both.join(small.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q")), "b")
+    p, q = _folded(F.col("p"), F.col("q")), _folded(F.col("q"), F.col("p"))
+    most = F.least(F.col("n") - _only(p, q), F.col("m") - _only(q, p))
+    near = _verified(materialize(both.where(_similar(most, F.col("n"), F.col("m"))).select("a", "b"), "shingle-pairs"), sets)
+    comp = components(near)
+    crowd = entries.where(F.col("size") > SPAN + 1).select("h", "node", "size")
+    crowd = crowd.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = crowd.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    more = _crowd_pairs(crowd.join(mixed, "h", "left_semi").select("h", "node", "size", "root"), sets)
+    return near.unionByName(_verified(materialize(more, "shingle-pairs"), sets))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (of equal ids, of the smallest text hash)."""
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce(text_col, F.lit(""))
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
+    # a null id sorts first in a struct; it must not win over an id
+    own = docs.select(F.xxhash64(text).alias("node"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("th")).alias("first"), text.alias("text"))
+    own = own.groupBy("node").agg(F.min("first").alias("first"), F.first("text").alias("text"))
+    sets = materialize(own.select("node", "first", shingle_column(F.col("text"), shingle).alias("s")).select("node", "first", "s.*"), "shingle-sets")
+    comp = components(links(sets.select("node", "set", "bits")))
+    least = sets.select("node", "first").join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    keep = least.select(F.col("first.id").alias("k_id"), F.col("first.th").alias("k_th"))
+    stays = row.join(keep, row["id"].eqNullSafe(keep["k_id"]) & (row["th"] == keep["k_th"]), "left_semi")
+    again = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.lit(1)))
+    return stays.withColumn("again", again).where("again = 1").select("row.*")

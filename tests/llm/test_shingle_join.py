@@ -1,0 +1,60 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from prosegauge.llm import shingle_join as J
+
+
+def near_pairs(rng, words=120):
+    """Texts about originals from just under to well over a similarity of 0.8, and a group of which all share a passage."""
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            copy, cuts = list(base), rng.randint(1, 5)
+            for at in rng.sample(range(words), cuts):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    passage = [f"p{i}" for i in range(100)]
+    for k in range(60):
+        texts.append(" ".join(passage + [f"q{k % 20}_{rng.randrange(3)}_{i}" for i in range(30)]))
+    # bitmaps of two sizes
+    long = [f"l{i}" for i in range(512)]
+    texts += [" ".join(long + [f"m{k}_{i}" for i in range(k)]) for k in (0, 12, 100, 150, 290)]
+    return texts
+
+
+def brute_kept(texts):
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize(("span", "block"), [(8, 2000), (1, 16)])
+def test_stage_keeps_one_of_each_component_at_its_threshold(spark, sf, monkeypatch, span, block):
+    monkeypatch.setattr(J, "SPAN", span)
+    monkeypatch.setattr(J, "BLOCK", block)
+    texts = near_pairs(random.Random(9))
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    assert len(kept) == len(set(kept))
+    assert set(kept) == brute_kept(texts)
+
+
+def test_edges(spark):
+    df = spark.createDataFrame([(None, "a b"), (4, "A  b"), (5, None), (6, " "), (4, "A  b"), (7, "other")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in J.keep_one(df).collect()) == [4, 5, 7]
+    assert J.keep_one(df.limit(0)).collect() == []
