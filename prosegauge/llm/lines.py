@@ -65,7 +65,8 @@ def drop_table(docs: DataFrame, mode: str, min_docs: int, min_chars: int, partit
     ``min_docs`` documents hold, every line but the first by document id, then text hash, then position.
     """
     spark = docs.sparkSession
-    hashes = materialize(_hashes(docs, min_chars), "line-hashes")
+    # repeated rows are one document, for the sketch too
+    hashes = materialize(_hashes(docs, min_chars).groupBy("id", "th").agg(F.first("keys").alias("keys")), "line-hashes")
     lines = hashes.select("id", "th", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("id", "th", "pos", "k.*")
     hot = hot_keys(hashes, min_docs)
     is_hot = F.col("h1").isin(hot) if hot else F.lit(False)

@@ -115,6 +115,14 @@ def test_line_dedup_hot(spark):
     assert line_dedup(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("mode", ["frequent", "first"])
+def test_line_dedup_repeated_row(spark, mode):
+    """Rows that agree in id and text are one document, however many they are."""
+    rows = [(1, "alpha\nbeta\nalpha")] * 20 + [(2, "gamma"), (3, "beta")]
+    got = line_dedup(docs_of(spark, rows), mode=mode, min_docs=10).collect()
+    assert len(got) == 22 and all(r.n_dropped == 0 for r in got)
+
+
 # ---- SimHash
 
 
