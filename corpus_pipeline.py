@@ -19,8 +19,6 @@ from prosegauge.session import materialize
 from prosegauge.sources import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Lines shorter than this recur by nature (headings, greetings) and stay.
-LINE_CHARS = 40
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -34,8 +32,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A line that several documents hold stays in the first of them only; documents that lose all their words by that go."""
-    cut = line_dedup(docs, mode="first", min_docs=2, min_chars=LINE_CHARS).withColumn("now", kept_text(F.col("text"), F.col("keep_bitmap")))
+    """A line of any length that several documents hold stays in the first of them only (empty ones stay); documents that lose all their words by that go."""
+    cut = line_dedup(docs, mode="first", min_docs=2, min_chars=1).withColumn("now", kept_text(F.col("text"), F.col("keep_bitmap")))
     return _documents(cut.where((F.col("n_dropped") == 0) | F.col("now").rlike(r"\S")).withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("now"))))
 
 
