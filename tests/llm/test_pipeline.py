@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -14,3 +18,16 @@ def test_short_lines_are_deduplicated(spark, sf):
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf).collect()}
     assert passage in got[0] and "Share" in got[0]
     assert all(got[i] == f"only in {i}\n\nend of {i}" for i in range(1, 6))
+
+
+def test_languages_without_labels_and_with_junk(spark, sf):
+    """Without labels only texts without a letter go; with labels, letter junk goes too and clean texts stay."""
+    rng = random.Random(5)
+    clean = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text rlike '[A-Za-z]'").select("doc_id", "text", "lang", "source", "n_chars")
+    n = clean.count()
+    bare = docs_of(spark, [(10**9, "12 + 3 = 15", None), (10**9 + 1, None, None)])
+    junk = docs_of(spark, [(10**9 + 2 + k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60 << k)), None) for k in range(6)])
+    kept = corpus_pipeline.languages(spark, clean.withColumn("lang", F.lit(None).cast("string")).unionByName(bare), sf).collect()
+    assert len(kept) == n and all(r.lang is None for r in kept)
+    kept = corpus_pipeline.languages(spark, clean.unionByName(bare).unionByName(junk), sf).collect()
+    assert len(kept) == n and all(r.doc_id < 10**9 for r in kept)
