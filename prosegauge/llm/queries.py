@@ -34,7 +34,8 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 ids; the ids themselves stay with the workers."""
-    out = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, emit_ids=False)
+    files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = packing.pack(read_table(spark, sf_dir, "documents"), *files, emit_ids=False)
     return out.drop("ids")
 
 

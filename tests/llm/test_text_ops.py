@@ -25,13 +25,26 @@ def docs_of(spark, rows, extra=False):
 # ---- packing
 
 
+FILES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def whole_windows(out):
+    """No gap, no overlap, no padding but at a power of two."""
+    lengths = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == lengths.get(r.sequence_id, 0)
+        lengths[r.sequence_id] = r.offset + r.length
+    assert max(lengths.values()) <= 1024
+    assert all(n & (n - 1) == 0 for n in lengths.values())
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice(["the", "größe", "x1", "\n", "<|endoftext|>", "  "]) for _ in range(rng.choice([0, 3, 60, 900, 5000])))) for i in range(120)]
-    rows += [(1000, None), (1001, ""), (1001, "")]
-    out = packing.pack(docs_of(spark, rows, extra=True).repartition(5), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, open_windows=4).collect()
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    rows = [(i, " ".join(rng.choice(["the", "größe", "x1", "\n", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext", "  ", "漢字"]) for _ in range(rng.choice([0, 3, 60, 900, 5000])))) for i in range(120)]
+    rows += [(1000, None), (1001, ""), (1001, ""), (1002, "hello <|endoftext|> world"), (1003, " " * 1_000_000), (1004, "aB-" * 300_000), (1005, "x" + "\n" * 50_000 + "y")]
+    out = packing.pack(docs_of(spark, rows, extra=True).repartition(5), *FILES, open_windows=4).collect()
+    t = Tokenizer.from_file(FILES[0])
+    assert t.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
     for d, text in rows:
         if d == 1001:
             continue
@@ -41,16 +54,28 @@ def test_packing_round_trip(spark):
         assert all(r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(bytes(r.ids)) and 4 * r.length == len(r.ids) for r in mine)
         assert [r.start for r in mine] == [0, *np.cumsum([r.length for r in mine])[:-1]]
     assert len([r for r in out if r.doc_id == 1001]) == 2
-    lengths = {}
-    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
-        assert r.offset == lengths.get(r.sequence_id, 0)
-        lengths[r.sequence_id] = r.offset + r.length
-    assert max(lengths.values()) <= 1024
-    assert all(n & (n - 1) == 0 for n in lengths.values())  # not one id of padding
+    whole_windows(out)
+
+
+def test_packing_last_partition_full(spark):
+    """The last partition leaves no open window; merged leftovers still get sequence ids of their own."""
+    rows = [(i, "the " * 40) for i in range(8)]
+    n = len(packing.Encoder(*FILES).encode("x")) + 1
+    rows += [(100 + i, "x") for i in range(1024 // n)]
+    df = docs_of(spark, rows[:8]).coalesce(1).union(docs_of(spark, rows[8:]).coalesce(1))
+    whole_windows(packing.pack(df, *FILES).collect())
 
 
 def test_packing_empty(spark):
-    assert packing.pack(docs_of(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert packing.pack(docs_of(spark, []), *FILES).count() == 0
+
+
+def test_ids_without_ranks():
+    slow, fast = packing.Encoder(FILES[0]), packing.Encoder(*FILES)
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "B", " ", "\n", "\u3000", "é", "'s", "12", "<|", "endoftext", "|>", "😀", "\u0301", "\x00", "\x85", "\xa0"]) for _ in range(60))
+        assert slow.encode(text) == fast.encode(text)
 
 
 def test_best_fit_and_fullest():
