@@ -55,7 +55,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 ids, as pieces of documents."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(docs, *(public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")), public_tokenizers.PATTERN)
 
 
 STAGES = [("language_id", languages), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontaminate", decontaminated), ("pack", packed)]
