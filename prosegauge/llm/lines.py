@@ -4,15 +4,15 @@ streaming window marks first occurrences and repeats, and each document gets a c
 Everything on the path is a DataFrame or SQL expression. A line's *key* is the line without white space
 ``[ \\t\\n\\v\\f\\r]`` at both ends and with A-Z in lower case; keys shorter than ``min_chars`` are never dropped.
 
+Documents are counted by distinct id when keys of many documents are sought (mode "frequent"; rows without an id count as no
+document, as in SQL's ``COUNT(DISTINCT)``), and by id and text when later occurrences go (mode "first").
+
 Hot keys. A key that a large share of all documents hold would fill one range. One pass of a
-frequent-items sketch of fixed size names them: every key with at least ``HOT_SHARE`` of the
-(document, key) pairs is reported, so there are at most ``1 / HOT_SHARE`` of them, and the sketch's own
-error bound proves that each is in ``min_docs`` documents. Their lines are settled without the range
-shuffle (for first occurrences, with a map-side minimum); all other keys take the exact windowed path.
-
-Defined results: null text is one empty line; rows that agree in id and text are one document and
-each of those rows is returned; null ids are ids like any other; an empty table gives no rows; other columns
-of the input pass through.
+frequent-items sketch of fixed size names at most ``1 / HOT_SHARE`` of them. That says only where a key is settled, not how: the documents of a named key
+are counted exactly, by distinct (key, document) pairs that spread over all tasks, and its lines do not take the range shuffle. All other keys take the windowed path.
+
+Defined results: null text is one empty line; every row is returned, also those that repeat an id or a whole row; null ids lose their lines like
+any other; an empty table gives no rows; other columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from prosegauge.session import materialize
 TRIMMED = " \t\n\x0b\x0c\r"
 HOT_SHARE = 1 / 1000
 TRACKED = 10_000
-#: The sketch's error as a share of all pairs, with room: 3.5 / (TRACKED / 0.75 rounded up to a power of two).
-SKETCH_ERROR = 3.5 / 16_384
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,15 +45,12 @@ def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("id", F.xxhash64(text).alias("th"), pair.alias("keys"))
 
 
-def hot_keys(hashes: DataFrame, min_docs: int) -> list[int]:
-    """At most 1 / HOT_SHARE hashes, each proved to be in at least ``min_docs`` documents."""
+def hot_keys(hashes: DataFrame) -> list[int]:
+    """At most 1 / HOT_SHARE hashes that the sketch holds to be frequent."""
     # a document that repeats a line must not make it hot
     once = hashes.select(F.explode(F.array_distinct(F.transform("keys", lambda k: k["h1"]))).alias("h1")).where("h1 is not null")
     row = once.agg(F.expr(f"approx_top_k(h1, {int(1 / HOT_SHARE)}, {TRACKED})").alias("top"), F.count("h1").alias("n")).first()
-    if not row["n"]:
-        return []
-    least = max(HOT_SHARE * row["n"], min_docs + SKETCH_ERROR * row["n"])
-    return [x["item"] for x in row["top"] if x["count"] >= least]
+    return [x["item"] for x in row["top"] if x["count"] >= max(2, HOT_SHARE * row["n"])] if row["n"] else []
 
 
 def drop_table(docs: DataFrame, mode: str, min_docs: int, min_chars: int, partitions: int | None = None) -> DataFrame:
@@ -65,24 +60,30 @@ def drop_table(docs: DataFrame, mode: str, min_docs: int, min_chars: int, partit
     ``min_docs`` documents hold, every line but the first by document id, then text hash, then position.
     """
     spark = docs.sparkSession
-    # repeated rows are one document, for the sketch too
+    # rows that repeat id and text lose the same lines: one of them will do
     hashes = materialize(_hashes(docs, min_chars).groupBy("id", "th").agg(F.first("keys").alias("keys")), "line-hashes")
     lines = hashes.select("id", "th", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("id", "th", "pos", "k.*")
-    hot = hot_keys(hashes, min_docs)
+    who = ["id"] if mode == "frequent" else ["id", "th"]
+    hot = hot_keys(hashes)
     is_hot = F.col("h1").isin(hot) if hot else F.lit(False)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = lines.where(~is_hot).repartitionByRange(n, "h1", "h2").sortWithinPartitions("h1", "h2", "id", "th", "pos")
     run = Window.partitionBy("h1", "h2")
     stream = run.orderBy("id", "th", "pos")
-    seen = ranged.withColumns({"doc_no": F.dense_rank().over(run.orderBy("id", "th")), "first": F.first(F.struct("id", "th", "pos")).over(stream)})
-    seen = seen.withColumn("n_docs", F.max("doc_no").over(run)).where(F.col("n_docs") >= min_docs)
+    nobody = F.max(F.when(F.col("id").isNull(), 1).otherwise(0)).over(run) if mode == "frequent" else F.lit(0)
+    seen = ranged.withColumns({"doc_no": F.dense_rank().over(run.orderBy(*who)), "first": F.first(F.struct("id", "th", "pos")).over(stream)})
+    seen = seen.withColumn("n_docs", F.max("doc_no").over(run) - nobody).where(F.col("n_docs") >= min_docs)
     gone = seen if mode == "frequent" else seen.where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
     gone = gone.select("id", "th", "pos")
     if hot:
         warm = lines.where(is_hot)
+        pairs = warm.where("id is not null") if mode == "frequent" else warm
+        # a row a named key: at most 1 / HOT_SHARE, whatever the table's size
+        held = pairs.groupBy("h1", "h2", *who).agg(F.min(F.struct("id", "th", "pos")).alias("f"))
+        held = held.groupBy("h1", "h2").agg(F.count("f").alias("n_docs"), F.min("f").alias("f")).where(F.col("n_docs") >= min_docs)
+        warm = warm.join(F.broadcast(held), ["h1", "h2"])
         if mode == "first":
-            firsts = warm.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("f"))
-            warm = warm.join(F.broadcast(firsts), ["h1", "h2"]).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("f")))
+            warm = warm.where(~F.struct("id", "th", "pos").eqNullSafe(F.col("f")))
         gone = gone.unionByName(warm.select("id", "th", "pos"))
     return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 

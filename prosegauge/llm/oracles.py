@@ -6,15 +6,13 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 _STRIP = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 OP4 = f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
-k AS (SELECT doc_id, pos, line, {_LOWER.format(_STRIP.format('line'))} AS key FROM l),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+k AS (SELECT r, doc_id, pos, line, {_LOWER.format(_STRIP.format('line'))} AS key FROM l),
 f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
 SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
-FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id
+FROM k LEFT JOIN f USING (key) GROUP BY r, k.doc_id
 """
 
 #: Words; then windows of ten consecutive item words (a shorter item is one window), sought in the documents by equality.

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from prosegauge.llm import packing, simhash
 from prosegauge.llm.decontaminate import Automaton, decontaminate, judge, remove_contamination, words
 from prosegauge.llm.language import UND, decide, entropies, language_id
+from prosegauge.llm.oracles import OP4
 from prosegauge.llm.lines import expand, kept_text, line_dedup
 
 EDGE = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x\ny"), (5, "word " * 30_000), (6, "\n\n \t\n")]
@@ -98,13 +99,14 @@ def brute_lines(rows, mode, min_docs, min_chars):
     for _, d, t in order:
         for x in t.split("\n"):
             seen.setdefault(key(x), []).append((d, t))
+    held = {k: len({d for d, _ in v if d is not None} if mode == "frequent" else set(v)) for k, v in seen.items()}
     out = {}
     first = set()
     for _, d, t in order:
         kept = []
         for x in t.split("\n"):
             k = key(x)
-            many = len(k) >= min_chars and len(set(seen[k])) >= min_docs
+            many = len(k) >= min_chars and held[k] >= min_docs
             drop = many and (mode == "frequent" or k in first)
             first.add(k)
             if not drop:
@@ -148,6 +150,27 @@ def test_line_dedup_repeated_row(spark, mode):
     assert len(got) == 22 and all(r.n_dropped == 0 for r in got)
 
 
+def test_line_dedup_against_sql(spark):
+    """The query's SQL on rows that repeat, ids that repeat with other texts, and rows without an id."""
+    import duckdb
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [(1, "only line")] * 20  # one document
+    rows += [(i, f"six ids\n{j}") for i in range(10, 16) for j in (0, 1)]  # six documents
+    rows += [(i, "ten ids\nx") for i in range(20, 29)] + [(29, "TEN IDS "), (29, "y")]
+    rows += [(i, "nine ids") for i in range(30, 39)] + [(None, "nine ids"), (None, "Nine ids"), (None, "ten ids")]
+    rows += [(rng.choice([None, *range(40, 60)]), "\n".join(rng.choice(["a", " A", "b", "", "c d"]) for _ in range(4))) for _ in range(80)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]}))
+    want = sorted(con.execute(OP4).fetchall(), key=str)
+    out = line_dedup(docs_of(spark, rows, extra=True), mode="frequent", min_docs=10)
+    got = out.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(F.col("text"), F.col("keep_bitmap")).cast("binary"), 256)).collect()
+    assert sorted(map(tuple, got), key=str) == want
+    dropped = {(r.doc_id, r.text): r.n_dropped for r in out.select("doc_id", "text", "n_dropped").collect()}
+    assert dropped[1, "only line"] == dropped[10, "six ids\n0"] == dropped[30, "nine ids"] == 0 and dropped[20, "ten ids\nx"] == dropped[None, "ten ids"] == 1
+
+
 # ---- SimHash
 
 
