@@ -5,12 +5,15 @@ occur in that text; the number of phrases, times the bits to point at one, per c
 language with the fewest normalised phrases wins.
 
 Model. A bounded sample: about ``sample_chars`` characters per language, in pieces of ``PIECE`` characters from the
-middle of documents picked by a hash of their id. Automata are dense transition tables over the sample's own
-letters, so a batch of texts is parsed in NumPy, all segments abreast. Texts are read whole; a segment of ``SEGMENT``
-characters starts a new phrase, which adds at most one phrase each and lets long texts run abreast.
+middle of documents picked by a hash of their id. An automaton's letters are numbered among its own; its transitions are a dense table while all tables together
+take ``DENSE`` entries at most, else sorted edges, so that alphabets of thousands of letters and many languages stay small.
+
+Texts are parsed whole. A batch is parsed in NumPy: segments of ``SEGMENT`` characters run abreast, and then each segment is parsed again from the state
+in which the one before it ended, up to the character from which both parses agree, until nothing changes. The phrases are those of the whole text.
 
 Defined results: null text, or text without any letter, is ``und`` with score 0; ties go to the language that sorts first;
-without any labelled text everything is ``und``; letters that no sample has make phrases of their own; other columns are not read.
+without any labelled text everything is ``und``; letters that no sample has make phrases of their own; texts and samples are compared in
+the composed form NFC; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,20 +32,43 @@ from prosegauge.session import bounded_batches
 UND = "und"
 PIECE = 400
 SEGMENT = 512
-#: Characters parsed abreast, a bound on a worker's memory.
-ABREAST = 1 << 20
+#: Characters parsed abreast, and entries of dense tables, bounds on a worker's memory.
+ABREAST, DENSE = 1 << 20, 1 << 24
 SPACE = 0
 
 
+@dataclass
+class Table:
+    """Transitions of one automaton over its own letters: ``own`` gives them by letter class. States are multiplied by ``width``; the root is 0,
+    and 0 stands for no transition, as nothing leads to the root."""
+
+    own: np.ndarray
+    width: int
+    keys: np.ndarray
+    to: np.ndarray
+    dense: np.ndarray | None = None
+
+    def spread(self) -> None:
+        """From edges to a dense table."""
+        self.dense = np.zeros(int(self.to.max(initial=0)) + self.width, np.int32)
+        self.dense[self.keys] = self.to
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = state + letter
+        if self.dense is not None:
+            return self.dense[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], 0)
+
+
 @dataclass
 class Parser:
-    """lang: tables by language; ``fold``: code point -> letter class (0: no letter); bits: to point into the sample."""
+    """tables by language; ``fold``: code point -> letter class (0: no letter); bits: to point into the sample."""
 
     langs: list[str]
-    tables: list[np.ndarray]
+    tables: list[Table]
     bits: list[float]
     fold: np.ndarray
-    classes: int
 
 
 def _fold(sample: dict[str, str]) -> tuple[np.ndarray, int]:
@@ -52,7 +78,7 @@ def _fold(sample: dict[str, str]) -> tuple[np.ndarray, int]:
             if c.isalpha():
                 known.setdefault(c, len(known) + 1)
     other = len(known) + 1
-    table = np.zeros(0x110000, np.uint16)
+    table = np.zeros(0x110000, np.uint16 if other < 1 << 16 else np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
@@ -70,8 +96,8 @@ def _classes(text: str, fold: np.ndarray) -> np.ndarray:
     return x[:-1] if len(x) and x[-1] == SPACE else x
 
 
-def suffix_automaton(seq: list[int], classes: int) -> np.ndarray:
-    """Transitions [state * classes + class] -> state * classes, 0 where there is none (nothing leads to the root)."""
+def suffix_automaton(seq: list[int], classes: int) -> Table:
+    """The automaton of all substrings of a sequence of letter classes."""
     length, link, edges = [0], [-1], [{}]
     last = 0
     for c in seq:
@@ -97,11 +123,22 @@ def suffix_automaton(seq: list[int], classes: int) -> np.ndarray:
                     edges[p][c] = twin
                     p = link[p]
         last = new
-    table = np.zeros(len(length) * classes, np.int32)
-    for state, out in enumerate(edges):
-        for c, to in out.items():
-            table[state * classes + c] = to * classes
-    return table
+    letters = sorted({SPACE, *seq})
+    width = len(letters) + 1
+    # letters of other languages share one number, which has no edge
+    own = np.full(classes, len(letters), np.int32)
+    own[letters] = np.arange(len(letters))
+    found = sorted((state * width + int(own[c]), to * width) for state, out in enumerate(edges) for c, to in out.items())
+    keys, to = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.full(1, -1), np.zeros(1, np.int64))
+    return Table(own, width, keys, to)
+
+
+def tables_of(coded: list[np.ndarray], classes: int) -> list[Table]:
+    tables = [suffix_automaton(x.tolist(), classes) for x in coded]
+    if sum(int(t.to.max(initial=0)) + t.width for t in tables) <= DENSE:
+        for t in tables:
+            t.spread()
+    return tables
 
 
 def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample_chars: int) -> Parser:
@@ -122,26 +159,45 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample_chars
     fold, classes = _fold(sample)
     langs = sorted(k for k, v in sample.items() if any(map(str.isalpha, v)))
     coded = [_classes(sample[k], fold) for k in langs]
-    return Parser(langs, [suffix_automaton(x.tolist(), classes) for x in coded], [math.log2(len(x) + 1) for x in coded], fold, classes)
+    return Parser(langs, tables_of(coded, classes), [math.log2(len(x) + 1) for x in coded], fold)
 
 
-def phrases(lanes: np.ndarray, active: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Phrases of each lane. lanes: [step, lane], the longest lane first; active: lanes that have a character, by step."""
-    state, count, root = np.zeros(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32), None
-    for c, n in zip(lanes, active, strict=True):
-        c = c[:n]
-        root = table[c]
-        to = table[state[:n] + c]
+def phrases(lanes: np.ndarray, length: np.ndarray, before: np.ndarray, table: Table) -> np.ndarray:
+    """Phrases that begin in each lane. lanes: [step, lane] letter classes, the longest lane first; before: the lane that goes on in this one, or -1."""
+    lanes = table.own[lanes]
+    n, active = lanes.shape[1], np.searchsorted(-length, -np.arange(len(lanes)), side="left")
+    states, begins = np.zeros(lanes.shape, np.int64), np.zeros(lanes.shape, bool)
+    state, entry = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def go(now: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = table.step(now, c)
         new = to == 0
         # a new phrase starts where the old one cannot go on; at the root, the first one does
-        count[:n] += new | (state[:n] == 0)
-        state[:n] = np.where(new, root, to)
-    return count
+        return np.where(new, table.step(np.zeros_like(now), c), to), new | (now == 0)
+
+    for t, k in enumerate(active):
+        state[:k], begins[t, :k] = go(state[:k], lanes[t, :k])
+        states[t, :k] = state[:k]
+    while True:
+        want = np.where(before >= 0, state[before], 0)
+        lane = np.flatnonzero(want != entry)
+        if not len(lane):
+            return begins.sum(0)
+        now = entry[lane] = want[lane]
+        for t in range(len(lanes)):
+            now, begins[t, lane] = go(now, lanes[t, lane])
+            again, over = now == states[t, lane], length[lane] == t + 1
+            states[t, lane] = now
+            state[lane[over]] = now[over]
+            on = ~(again | over)
+            lane, now = lane[on], now[on]
+            if not len(lane):
+                break
 
 
 def entropies(texts: list[str], parser: Parser) -> tuple[np.ndarray, np.ndarray]:
     """[text, language] bits a character, and characters by text."""
-    coded = [_classes(t, parser.fold) for t in texts]
+    coded = [_classes(unicodedata.normalize("NFC", t), parser.fold) for t in texts]
     sizes = np.array([len(x) for x in coded], np.int64)
     flat = np.concatenate([*coded, np.zeros(SEGMENT, np.uint16)]).astype(np.int32)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
@@ -150,16 +206,17 @@ def entropies(texts: list[str], parser: Parser) -> tuple[np.ndarray, np.ndarray]
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start, length = first[owner] + nth * SEGMENT, np.minimum(SEGMENT, sizes[owner] - nth * SEGMENT)
     by = np.argsort(-length, kind="stable")
+    place = np.empty_like(by)
+    place[by] = np.arange(len(by))
+    before = np.where(nth > 0, place[np.maximum(np.arange(len(by)) - 1, 0)], -1)[by]
     owner, start, length = owner[by], start[by], length[by]
     out = np.zeros((len(texts), len(parser.langs)))
     if len(owner):
-        steps = np.arange(length[0])
-        lanes = np.zeros((len(steps), len(start)), np.int32)
-        for t in steps:
+        lanes = np.zeros((int(length[0]), len(start)), np.int32)
+        for t in range(len(lanes)):
             lanes[t] = flat[np.minimum(start + t, len(flat) - 1)]
-        active = np.searchsorted(-length, -steps, side="left")
         for j, (table, bits) in enumerate(zip(parser.tables, parser.bits, strict=True)):
-            out[:, j] = np.bincount(owner, phrases(lanes, active, table), len(texts)) * bits
+            out[:, j] = np.bincount(owner, phrases(lanes, length, before, table), len(texts)) * bits
     return out / np.maximum(sizes, 1)[:, None], sizes
 
 

@@ -308,22 +308,64 @@ def longest_first(text, sample):
     return n
 
 
-def test_cross_parse_brute(spark):
+@pytest.mark.parametrize("dense", [1 << 24, 0])
+def test_cross_parse_brute(monkeypatch, dense):
+    """Whole texts of many segments: as many phrases as a plain greedy parse has, with dense tables and with edges."""
     from prosegauge.llm import language as L
 
+    monkeypatch.setattr(L, "SEGMENT", 32)
+    monkeypatch.setattr(L, "DENSE", dense)
     rng = random.Random(2)
-    sample = {k: "".join(rng.choice(s) for _ in range(600)) for k, s in (("aa", "abc d"), ("bb", "bcde "))}
+    sample = {k: "".join(rng.choice(s) for _ in range(n)) for k, s, n in (("aa", "abc d", 600), ("bb", "bcde ", 600), ("ones", "a", 70))}
     sample = {k: " ".join(v.split()) for k, v in sample.items()}
     fold, classes = L._fold(sample)
     langs = sorted(sample)
-    p = L.Parser(langs, [L.suffix_automaton(L._classes(sample[k], fold).tolist(), classes) for k in langs], [1.0, 1.0], fold, classes)
+    tables = L.tables_of([L._classes(sample[k], fold) for k in langs], classes)
+    assert all((t.dense is not None) == (dense > 0) for t in tables)
+    p = L.Parser(langs, tables, [1.0] * 3, fold)
     texts = [" ".join("".join(rng.choice("abcdez ") for _ in range(rng.randint(1, 500))).split()) for _ in range(40)]
+    # the parse of a text of one letter never falls in step with one that starts elsewhere
+    texts += ["a" * 1000, "a" * 31, "a" * 33, sample["aa"], sample["bb"] + sample["aa"], "zz" * 300]
     h, sizes = entropies(texts, p)
     for t, row, n in zip(texts, h, sizes, strict=True):
         assert n == len(t) and [round(x * max(n, 1)) for x in row] == [longest_first(t, sample[k]) for k in langs]
     assert decide([None, "", " 12 ?"], p)[2][0] == UND
 
 
+def test_prediction_brute(spark):
+    """The operator's language is the one of the fewest normalised phrases by the plain definition, for texts in several scripts."""
+    import math
+    import unicodedata
+
+    own = {
+        "zh": "今天早上城市的居民在公园里看到了一件奇怪的事情很多人停下来拍照有人说他们从来没有见过这样的景象",
+        "el": "χθες το πρωί οι κάτοικοι της πόλης είδαν κάτι παράξενο στο πάρκο και πολλοί από αυτούς σταμάτησαν",
+        "en": "yesterday morning the people of the town saw something strange in the park and many of them stopped",
+        "fr": "hier matin les habitants de la ville ont vu quelque chose d étrange dans le parc et beaucoup d entre eux",
+    }
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(own.items())], "doc_id long, text string, lang string")
+    texts = ["很多人在城市的公园里", "the town and the park", unicodedata.normalize("NFD", "étrange ville et étrange chose"), "στο πάρκο της πόλης", "les people de town", "ж"]
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", language_id(df, df).alias("r")).collect()
+    plain = lambda t: " ".join("".join(c.lower() if c.isalpha() else " " for c in unicodedata.normalize("NFC", t)).split())
+    for r in got:
+        t = plain(texts[r.doc_id])
+        cost = {k: longest_first(t, plain(v)) * math.log2(len(plain(v)) + 1) / len(t) for k, v in own.items()}
+        assert r.r.lang_pred == min(sorted(cost), key=cost.get) and abs(r.r.entropy - min(cost.values())) < 1e-9
+
+
+def test_wide_alphabets_stay_small():
+    """40,000 Chinese characters beside another language: edges, not a table of all states by all letters."""
+    from prosegauge.llm import language as L
+
+    rng = random.Random(3)
+    sample = {"zh": "".join(chr(0x4E00 + min(int(rng.expovariate(1 / 300)), 5000)) for _ in range(40_000)), "en": "".join(rng.choice("etaoin shrdlu") for _ in range(40_000))}
+    fold, classes = L._fold(sample)
+    tables = L.tables_of([L._classes(sample[k], fold) for k in sorted(sample)], classes)
+    assert sum(x.nbytes for t in tables for x in (t.own, t.keys, t.to)) < 8 << 20 and all(t.dense is None for t in tables)
+    h, _ = entropies([sample["zh"][:500], sample["en"][-500:]], L.Parser(["en", "zh"], tables, [15.0, 15.0], fold))
+    assert h[0].argmin() == 1 and h[1].argmin() == 0
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame([(1, "hello there friend", "en"), (2, None, "de"), (3, "", None), (4, "123 !!", "en"), (5, "guten tag freund " * 20_000, "de")], "doc_id long, text string, lang string")
     got = {r.doc_id: r.r for r in df.select("doc_id", language_id(df, df).alias("r")).collect()}
