@@ -79,7 +79,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of benchmark items in all documents."""
-    found = read_table(spark, sf_dir, "documents").select("doc_id", decontaminate(F.col("text"), read_table(spark, sf_dir, "benchmark"), window=10).alias("r"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, read_table(spark, sf_dir, "benchmark"), window=10).select("row.doc_id", F.col("hit").alias("r"))
     items = F.array_join(F.array_sort("r.items"), ",")
     return found.select(
         "doc_id", "r.n_words", "r.n_hit", F.size("r.items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.col("r.n_hit") > 0).alias("contaminated")

@@ -274,18 +274,21 @@ def test_automaton_brute():
                 assert (got[0], got[1], sorted(set(got[2]))) == want
 
 
-def test_decontaminate_frame(spark):
+@pytest.mark.parametrize("block_words", [200_000, 8])
+def test_decontaminate_frame(spark, block_words):
+    """One automaton, and several one after the other."""
     item = "one two three four five six seven eight nine ten eleven"
-    items = spark.createDataFrame([(1, item), (2, "rare phrase"), (3, None), (None, "x"), (4, " ")], "item_id long, text string")
-    rows = [(1, f"Before, {item.upper()}! after"), (2, "a rare-phrase b c d e f"), (3, None), (4, ""), (5, "one two three"), (6, item)]
-    df = docs_of(spark, rows, extra=True)
-    got = {r.doc_id: r.r for r in df.select("doc_id", decontaminate(F.col("text"), items).alias("r")).collect()}
+    items = spark.createDataFrame([(1, item), (2, "rare phrase"), (3, None), (None, "x"), (4, " "), (5, "b c d rare"), (6, "phrase b c")], "item_id long, text string")
+    rows = [(1, f"Before, {item.upper()}! after"), (2, "a rare-phrase b c d e f"), (3, None), (4, ""), (5, "one two three"), (6, item), (6, item)]
+    df = docs_of(spark, rows, extra=True).withColumns({c: F.lit(c) for c in ("hit", "key", "spans", "items")})
+    got = {r.doc_id: r.hit for r in decontaminate(df, items, block_words=block_words).select("row.doc_id", "hit").collect()}
     assert (got[1].n_hit, got[1].items, got[1].clean) == (11, ["1"], "Before, ! after")
-    assert (got[2].n_hit, got[2].items) == (2, ["2"]) and got[3].n_words == got[5].n_hit == 0
-    kept = remove_contamination(df, items, max_coverage=0.9).collect()
-    assert {r.doc_id: r.text for r in kept} == {1: "Before, ! after", 2: "a  b c d e f", 3: None, 4: "", 5: "one two three"}
+    assert (got[2].n_hit, got[2].items, got[2].clean) == (4, ["2", "6"], "a  d e f") and got[3].n_words == got[5].n_hit == 0 and got[5].n_words == 3
+    kept = remove_contamination(df, items, max_coverage=0.9, block_words=block_words)
+    assert kept.columns == df.columns
+    assert {r.doc_id: (r.text, r.hit) for r in kept.collect()} == {1: ("Before, ! after", "hit"), 2: ("a  d e f", "hit"), 3: (None, "hit"), 4: ("", "hit"), 5: ("one two three", "hit")}
     none = spark.createDataFrame([], "item_id long, text string")
-    assert df.select(decontaminate(F.col("text"), none).alias("r")).where("r.n_hit > 0").count() == 0
+    assert decontaminate(df, none).where("hit.n_hit > 0").count() == 0 and decontaminate(df.limit(0), items, block_words=block_words).count() == 0
 
 
 # ---- language ID
