@@ -37,6 +37,8 @@ from prosegauge.session import bounded_batches, materialize
 #: Entries of one key that a new entry is paired with directly.
 SPAN = 8
 WORD = 64
+#: Fingerprints with more than this share of all rows, one in HOT, are hot.
+HOT = 1000
 #: Entries of a crowded key that one task compares with each other.
 BLOCK = 20_000
 _BATCH = 1 << 15
@@ -69,6 +71,15 @@ def fingerprint(text: bytes | None, shingle: int, width: int = WORD) -> list[int
     return [int.from_bytes(np.packbits(2 * o > total, bitorder="little").tobytes(), "little") for o in ones]
 
 
+def bits_of(hashes: np.ndarray, words: int) -> list[int]:
+    """The bits set in over half of the hashes (uint64), as unsigned words."""
+    ones = np.zeros((words, WORD), np.int64)
+    for at in range(0, len(hashes), _BATCH):
+        for k in range(words):
+            ones[k] += np.unpackbits(_more(hashes[at : at + _BATCH], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * o > len(hashes), bitorder="little").tobytes(), "little") for o in ones]
+
+
 def names(width: int, stem: str = "f") -> list[str]:
     return [f"{stem}{k}" for k in range(width // WORD)]
 
@@ -89,23 +100,29 @@ def _hamming(a: list[Column], b: list[Column]) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def places(width: int, segments: int) -> list[str]:
+    """SQL structs (slot, word, at, over, mask) of the one-wildcard variants: the bit left out, where its segment begins, where the segment goes on in the next word
+    (-1: nowhere), and which bits of it count."""
+    edges, out = [round(i * width / segments) for i in range(segments + 1)], []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        word, at = divmod(lo, WORD)
+        over = WORD - at if at + hi - lo > WORD else -1
+        out += [f"named_struct('slot', {lo + i}, 'word', {word}, 'at', {at}, 'over', {over}, 'mask', {((1 << (hi - lo)) - 1) & ~(1 << i)}L)" for i in range(hi - lo)]
+    return out
+
+
 def _variants(fps: DataFrame, width: int, segments: int) -> DataFrame:
     """(f0, ..., slot, rest): slot is the bit left out, rest the other bits of its segment; ``width`` rows a fingerprint.
 
     Places and masks are rows of one constant array and the bits one expression over them: an expression for each bit would make a
     generated method whose compilation takes more memory than the data.
     """
-    edges = [round(i * width / segments) for i in range(segments + 1)]
-    places = []
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        word, at = divmod(lo, WORD)
-        over = WORD - at if at + hi - lo > WORD else -1
-        places += [f"named_struct('slot', {lo + i}, 'word', {word}, 'at', {at}, 'over', {over}, 'mask', {((1 << (hi - lo)) - 1) & ~(1 << i)}L)" for i in range(hi - lo)]
+    where = places(width, segments)
     own = f"element_at(array({', '.join(names(width))}), v.word + 1)"
     rest = f"shiftrightunsigned({own}, v.at)"
-    if any("'over', -1" not in p for p in places):
+    if any("'over', -1" not in p for p in where):
         rest = f"({rest} | if(v.over < 0, 0L, shiftleft(element_at(array({', '.join(names(width))}, 0L), v.word + 2), v.over)))"
-    placed = fps.select(*names(width), F.expr(f"explode(array({', '.join(places)}))").alias("v"))
+    placed = fps.select(*names(width), F.expr(f"explode(array({', '.join(where)}))").alias("v"))
     return placed.select(*names(width), F.col("v.slot").alias("slot"), F.expr(f"{rest} & v.mask").alias("rest"))
 
 
@@ -194,24 +211,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, shingle: int, width: int, segments: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """For ``docs`` (id, text): one row per document (id, th, fp), and one per fingerprint (fp, first), the component's smallest (id, th)."""
+    """For ``docs`` (id, text): one row per document (id, th, fp), and one per fingerprint (fp, first, hot): the component's smallest (id, th), and
+    whether the fingerprint has over a ``1 / HOT`` share of all rows."""
     bounded_batches(docs.sparkSession)
     own = docs.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), fingerprint_column(F.col("text"), shingle, width).alias("fp"))
     prints = materialize(own, "simhash-prints")
     # a null id sorts first in a struct; it must not win over an id
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
-    firsts = materialize(prints.groupBy("fp").agg(least.alias("first")), "simhash-firsts")
+    firsts = materialize(prints.groupBy("fp").agg(least.alias("first"), F.count("th").alias("rows")), "simhash-firsts")
+    many = (firsts.agg(F.sum("rows")).first()[0] or 0) / HOT
     comp = components(links(firsts.select("fp.*"), width, segments, max_bits)).withColumnRenamed("node", "fp")
-    rooted = firsts.join(comp, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = firsts.join(comp, "fp", "left").select("fp", "first", (F.col("rows") > many).alias("hot"), F.coalesce("root", "fp").alias("root"))
     low = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return prints, materialize(rooted.select("fp", "root").join(low, "root").select("fp", "first"), "simhash-classes")
+    return prints, materialize(rooted.select("fp", "hot", "root").join(low, "root").select("fp", "hot", "first"), "simhash-classes")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = WORD, segments: int = 2, max_bits: int = 2) -> DataFrame:
     """Per row of ``docs``: id, ``fp`` (a struct of signed longs) and ``component_id``, the smallest id of the documents reachable by links."""
     prints, found = classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, width, segments, max_bits)
-    # copies of one text may be a third of all rows: a plain join, whose large partitions AQE splits
-    return prints.join(found, "fp", "left").select(F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
+    # copies of one text may be a third of all rows: the few fingerprints that are so frequent, fewer than HOT, are broadcast, and their rows are not shuffled
+    hot = F.broadcast(found.where("hot").select("fp", "first"))
+    both = prints.join(hot, "fp").select("id", "fp", "first").unionByName(prints.join(hot, "fp", "left_anti").join(found.where("not hot"), "fp").select("id", "fp", "first"))
+    return both.select(F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:

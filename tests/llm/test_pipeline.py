@@ -31,3 +31,35 @@ def test_languages_without_labels_and_with_junk(spark, sf):
     assert len(kept) == n and all(r.lang is None for r in kept)
     kept = corpus_pipeline.languages(spark, clean.unionByName(bare).unionByName(junk), sf).collect()
     assert len(kept) == n and all(r.doc_id < 10**9 for r in kept)
+
+
+def test_every_stage_on_edge_rows(spark, sf):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing and missing columns, an empty table: all stages, one after the other."""
+    rows = [(1, None, None), (2, "", "en"), (None, "a line of the text and the other of it", "en"), (4, "the text of the day and the end of it", "en"), (4, "the text of the day and the end of it", "en")]
+    rows += [(5, "word of the " * 30_000, "en"), (6, "Le texte de la ville et de la mer\nune autre ligne", None), (7, "7 8 9", "fr"), (None, None, None)]
+    docs = docs_of(spark, rows).withColumn("source", F.when(F.col("doc_id") > 4, F.col("source")))
+    clash = {c: F.lit(c) for c in ("row", "found", "now", "hit", "id", "th", "key", "keep_bitmap", "n_dropped", "found_lang", "node")}
+    for n, start in ((len(rows), docs.withColumns(clash)), (0, docs.limit(0))):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, sf)
+            if name != "pack":
+                assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            now = spark.createDataFrame(out.collect(), out.schema)
+        assert (now.count() > 0) == (n > 0)
+        if n:
+            ids = {r.doc_id for r in now.collect()}
+            assert {4, 5, 6} <= ids and 7 not in ids and 1 not in ids
+
+
+def test_whole_run_keeps_and_drops(spark, sf):
+    """Of the documents, texts without letters and copies go, and no two that are left have equal texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"), F.count("start").alias("pieces")).collect()
+    kept = {r.doc_id for r in pieces}
+    assert all(r.n == r["all"] for r in pieces)
+    seen = {}
+    for r in docs.orderBy("doc_id").collect():
+        if r.text and any(c.isalpha() for c in r.text):
+            seen.setdefault(r.text, r.doc_id)
+    assert kept <= set(seen.values()) and len(kept) >= 0.6 * len(seen)
