@@ -6,11 +6,15 @@ Counts. Every training text is counted: tasks count their own words, and a shuff
 frequent words travel to the workers with their counts (a bound on the broadcast); the counts of all others are joined to the texts by
 word, in a shuffle. So each token's count is exact, whatever the vocabulary's size.
 
-Model. Latent states emit symbols: the ``symbols`` most frequent words, the end, and one symbol for all rarer words. A rarer word's
-probability is that symbol's, times the word's share (c + 1) / T of the add-one mass of rarer words; T includes one unit for the unseen. So
-the probabilities of all words add up to one in every state. Training is Baum-Welch: each task runs the scaled forward and
+Model. Latent states emit symbols: the ``symbols`` most frequent words, the end, and ``CLASSES`` classes of all rarer words, by their last letters. A rarer word's
+probability is its class's, times the word's share (c + 1) / T of the add-one mass of its class; T includes one unit for the unseen. So
+the probabilities of all words add up to one in every state. ``symbols``, ``CLASSES`` and ``states`` are the model's size, whatever the corpus's; the counts behind
+shares and emissions grow with it.
+
+Training is Baum-Welch over whole texts: each task runs the scaled forward and
 backward recursions over its texts and adds up expected counts, Spark adds those up across tasks by symbol, and the driver, which gets ``symbols`` x
-``states`` numbers, re-estimates. For training, texts are cut into stretches of ``STRETCH`` tokens, which run abreast.
+``states`` numbers, re-estimates. Texts of like length run abreast; forward values are kept for ``CHUNK`` steps at a time and
+made anew from the chunk's beginning on the way back, so that memory does not grow with a text's length.
 
 Score. The scaled forward recursion over the whole text, uncut, gives the exact log10 likelihood of its tokens.
 
@@ -21,6 +25,7 @@ sorts first; without training texts nothing is known, and base and model give th
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,9 +41,11 @@ from prosegauge.session import bounded_batches, materialize
 
 #: The end token's own entry in the tables of counts: no word has white space in it.
 END = b"\n"
-STRETCH = 96
 #: Words of a task's counter before it is sent on, tokens of texts that run abreast, and rows of a batch.
 HELD, ABREAST, ROWS = 400_000, 1 << 19, 2048
+#: Steps whose forward values are kept, and how many such values of training texts.
+CHUNK, KEPT = 2048, 1 << 17
+CLASSES = 256
 #: Strength of the unigram prior in a state's emissions, and of the stay-put prior in its transitions.
 PRIOR, STAY = 200.0, 0.95
 
@@ -70,9 +77,14 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def class_of(word: bytes) -> int:
+    """The class of a rarer word."""
+    return zlib.crc32(word[-2:]) % CLASSES
+
+
 @dataclass
 class Lexicon:
-    """What workers know of the counts. ``number``: word -> rank by count; ranks under ``symbols`` are symbols of the model."""
+    """What workers know of the counts. ``number``: word -> rank by count; ranks under ``symbols`` are symbols of the model. ``mass``: of each class."""
 
     number: dict[bytes, int]
     counts: np.ndarray
@@ -80,34 +92,35 @@ class Lexicon:
     total: int
     distinct: int
     ends: int
-    rare_mass: float
-
-    @property
-    def rare(self) -> int:
-        return self.symbols
+    mass: np.ndarray
 
     @property
     def end(self) -> int:
-        return self.symbols + 1
+        return self.symbols + CLASSES
 
     def unigram(self) -> np.ndarray:
-        p = np.concatenate([self.counts[: self.symbols] + 1.0, [self.rare_mass, self.ends + 1.0]])
+        p = np.concatenate([self.counts[: self.symbols] + 1.0, self.mass, [self.ends + 1.0]])
         return p / p.sum()
 
 
 def lexicon(counts: DataFrame, lookup: int, symbols: int) -> Lexicon:
-    """From the whole table of counts; ``lookup`` rows of it reach the driver."""
+    """From the whole table of counts; ``lookup`` rows of it, and one for each class, reach the driver."""
     end = F.col("word") == F.lit(END)
     whole = counts.agg(F.sum("c").alias("n"), F.count("word").alias("v"), F.sum(F.when(end, F.col("c"))).alias("ends")).first()
     top = counts.where(~end).orderBy(F.desc("c"), "word").limit(lookup).toArrow()
-    c = top.column("c").to_numpy()
+    c, words_ = top.column("c").to_numpy(), top.column("word").to_pylist()
     n, v, ends = whole["n"] or 0, whole["v"] or 0, whole["ends"] or 0
     k = min(symbols, len(c))
-    rare = (n - ends - int(c[:k].sum())) + (v - (ends > 0) - k) + 1
-    return Lexicon({w: i for i, w in enumerate(top.column("word").to_pylist())}, c.astype(np.float64), k, n, v, ends, float(rare))
+    kind = (F.crc32(F.substring("word", -2, 2)) % CLASSES).alias("kind")
+    mass = np.ones(CLASSES)
+    for r in counts.where(~end).groupBy(kind).agg(F.sum(F.col("c") + 1).alias("m")).collect():
+        mass[r["kind"]] += r["m"]
+    for w, x in zip(words_[:k], c[:k], strict=True):
+        mass[class_of(w)] -= x + 1
+    return Lexicon({w: i for i, w in enumerate(words_)}, c.astype(np.float64), k, n, v, ends, mass)
 
 
-_CODED = "ids binary, n_tokens long, known long, base double, rare double, n_rare long, tail array<binary>"
+_CODED = "ids binary, n_tokens long, known long, base double, rare double, tail array<binary>"
 
 
 def encode(rows: DataFrame, sent) -> DataFrame:
@@ -117,6 +130,7 @@ def encode(rows: DataFrame, sent) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = sent.value
         logs, get, log_ends = np.log10(lex.counts + 1), lex.number.get, math.log10(lex.ends + 1)
+        kinds, log_mass = np.fromiter(map(class_of, lex.number), np.int64, len(lex.number)), np.log10(lex.mass)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -128,17 +142,19 @@ def encode(rows: DataFrame, sent) -> DataFrame:
                 log = np.zeros(len(flat))
                 log[seen] = logs[found[seen]]
                 rare = ~seen | (found >= lex.symbols)
-                ids = np.insert(np.where(rare, lex.rare, found), np.cumsum(sizes), lex.end).astype("<u2")
-                offsets = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)
                 lost = np.flatnonzero(~seen)
+                kind = np.zeros(len(flat), np.int64)
+                kind[seen] = kinds[found[seen]]
+                kind[lost] = [class_of(flat[i]) for i in lost]
+                ids = np.insert(np.where(rare, lex.symbols + kind, found), np.cumsum(sizes), lex.end).astype("<u4")
+                offsets = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)
                 tails = np.concatenate([[0], np.cumsum(np.bincount(owner[lost], minlength=n))]).astype(np.int32)
                 made = [
-                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * offsets).tobytes()), pa.py_buffer(ids.tobytes())]),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * offsets).tobytes()), pa.py_buffer(ids.tobytes())]),
                     pa.array(sizes + 1, pa.int64()),
                     pa.array(np.bincount(owner[seen], minlength=n) + (lex.ends > 0), pa.int64()),
                     pa.array(np.bincount(owner, log, n) + log_ends, pa.float64()),
-                    pa.array(np.bincount(owner, log * rare, n), pa.float64()),
-                    pa.array(np.bincount(owner[rare], minlength=n), pa.int64()),
+                    pa.array(np.bincount(owner, (log - log_mass[kind]) * rare, n), pa.float64()),
                     pa.ListArray.from_arrays(pa.array(tails), pa.array([flat[i] for i in lost], pa.binary())),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("train"), *made], names=["id", "train", *names])
@@ -169,7 +185,7 @@ def lanes(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.array([len(s) for s in seqs])
     order = np.argsort(-size, kind="stable")
     size = size[order]
-    grid = np.zeros((size[0], len(seqs)), np.uint16)
+    grid = np.zeros((size[0], len(seqs)), np.uint32)
     for lane, i in enumerate(order):
         grid[: size[lane], lane] = seqs[i]
     return grid, order, np.searchsorted(-size, -np.arange(size[0]), side="left")
@@ -191,11 +207,11 @@ def likelihood(seqs: list[np.ndarray], m: Model) -> np.ndarray:
 
 def likelihoods(column: pa.Array, m: Model) -> np.ndarray:
     """The same for a column of symbols, in groups of like length whose grids hold at most ABREAST cells (or one text)."""
-    size = pc.binary_length(column).to_numpy(zero_copy_only=False) // 2
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False) // 4
     out, order, at = np.zeros(len(size)), np.argsort(-size, kind="stable"), 0
     while at < len(order):
         some = order[at : at + max(1, ABREAST // int(size[order[at]]))]
-        out[some] = likelihood([np.frombuffer(column[int(i)].as_buffer(), "<u2") for i in some], m)
+        out[some] = likelihood([np.frombuffer(column[int(i)].as_buffer(), "<u4") for i in some], m)
         at += len(some)
     return out
 
@@ -212,45 +228,55 @@ class Expected:
     def none(cls, m: Model) -> Expected:
         return cls(np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit))
 
-    def add(self, seqs: list[np.ndarray], begins: np.ndarray, m: Model) -> None:
-        """Forward and backward over stretches; ``begins``: which are the first of their text."""
-        grid, order, live = lanes(seqs)
-        begins, steps = begins[order], len(live)
-        alphas, scales = [], []
-        for t, n in enumerate(live):
-            a = (m.start if t == 0 else alphas[-1][:n] @ m.move) * m.emit[grid[t, :n]]
-            scales.append(a.sum(1))
-            alphas.append(a / scales[-1][:, None])
-        beta = np.ones((live[-1], len(m.start)))
-        for t in range(steps - 1, -1, -1):
-            if t < steps - 1:
-                n = len(beta)
-                ahead = m.emit[grid[t + 1, :n]]
-                ahead *= beta
-                ahead /= scales[t + 1][:, None]
-                self.move += m.move * (alphas[t][:n].T @ ahead)
+    def add(self, seqs: list[np.ndarray], m: Model) -> None:
+        """Forward and backward over whole texts."""
+        grid, _, live = lanes(seqs)
+        steps, heads, alpha = len(live), [], None
+        for at in range(0, steps, CHUNK):
+            heads.append(alpha)
+            if at + CHUNK < steps:
+                for _, alpha, _ in _forward(grid, live, at, at + CHUNK, alpha, m):
+                    pass
+        ahead = None
+        for at, head in zip(reversed(range(0, steps, CHUNK)), reversed(heads), strict=True):
+            kept = list(_forward(grid, live, at, min(at + CHUNK, steps), head, m))
+            for t, alpha, scale in reversed(kept):
                 beta = np.ones((live[t], len(m.start)))
-                beta[:n] = ahead @ m.move.T
-            # scaled forward times scaled backward is the posterior: it adds up to one
-            alphas[t] *= beta
-        self.start += alphas[0][begins[: live[0]]].sum(0)
-        seen, weight = np.concatenate([grid[t, :n] for t, n in enumerate(live)]), np.concatenate(alphas)
-        for h in range(len(m.start)):
-            self.emit[:, h] += np.bincount(seen, weight[:, h], len(self.emit))
-
-
-def _stretches(ids: Iterator[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    some, first, held = [], [], 0
-    for x in ids:
-        for at in range(0, len(x), STRETCH):
-            some.append(x[at : at + STRETCH])
-            first.append(at == 0)
-            held += len(some[-1])
-            if held >= ABREAST // 4:
-                yield some, np.array(first)
-                some, first, held = [], [], 0
-    if some:
-        yield some, np.array(first)
+                if ahead is not None:
+                    n = len(ahead)
+                    self.move += m.move * (alpha[:n].T @ ahead)
+                    beta[:n] = ahead @ m.move.T
+                ahead = m.emit[grid[t, : live[t]]]
+                ahead *= beta
+                ahead /= scale[:, None]
+                # scaled forward times scaled backward is the posterior: it adds up to one
+                alpha *= beta
+            if not at:
+                self.start += kept[0][1].sum(0)
+            seen, weight = np.concatenate([grid[t, : live[t]] for t, _, _ in kept]), np.concatenate([alpha for _, alpha, _ in kept])
+            for h in range(len(m.start)):
+                self.emit[:, h] += np.bincount(seen, weight[:, h], len(self.emit))
+
+
+def _forward(grid: np.ndarray, live: np.ndarray, at: int, end: int, alpha: np.ndarray | None, m: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(step, scaled forward values, scales) from step ``at`` on, where ``alpha`` are those of the step before."""
+    for t in range(at, end):
+        n = live[t]
+        alpha = (m.start if alpha is None else alpha[:n] @ m.move) * m.emit[grid[t, :n]]
+        scale = alpha.sum(1)
+        alpha /= scale[:, None]
+        yield t, alpha, scale
+
+
+def alike(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts in groups of like length (by a power of two), of KEPT forward values at most, or one text."""
+    held: dict[int, list[np.ndarray]] = {}
+    for x in texts:
+        k = len(x).bit_length()
+        held.setdefault(k, []).append(x)
+        if len(held[k]) * min(1 << k, CHUNK) >= KEPT:
+            yield held.pop(k)
+    yield from held.values()
 
 
 def expected_counts(coded: DataFrame, sent, states: int) -> DataFrame:
@@ -260,8 +286,9 @@ def expected_counts(coded: DataFrame, sent, states: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         total = Expected.none(m)
-        for seqs, begins in _stretches(np.frombuffer(x.as_buffer(), "<u2") for batch in batches for x in batch.column("ids")):
-            total.add(seqs, begins, m)
+        # copies: a view would hold on to its whole batch
+        for seqs in alike(np.frombuffer(x.as_buffer(), "<u4").copy() for batch in batches for x in batch.column("ids")):
+            total.add(seqs, m)
         seen = np.flatnonzero(total.emit.any(1))
         table = np.vstack([total.emit[seen], total.move, total.start[None]])
         symbol = np.concatenate([seen, -1 - np.arange(states + 1)])
@@ -291,10 +318,8 @@ def train(coded: DataFrame, lex: Lexicon, states: int, rounds: int) -> Model:
     return m
 
 
-def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "text", states: int = 8, rounds: int = 4, lookup: int = 250_000, symbols: int = 60_000) -> DataFrame:
+def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "text", states: int = 8, rounds: int = 5, lookup: int = 250_000, symbols: int = 60_000) -> DataFrame:
     """Per row of ``docs``: id, ``train``, n_tokens, n_known, train_tokens, base_score and score (log10). ``train_when``: which rows are learnt from."""
-    if symbols > 65_000:
-        raise ValueError("symbols are stored in 16 bits")
     bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(train_when, F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
@@ -313,7 +338,7 @@ def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "
     tail = coded.select("key", F.explode("tail").alias("word")).join(counts, "word")
     tail = tail.groupBy("key").agg(F.sum(F.log10(F.col("c") + 1)).alias("tail_sum"), F.count("c").alias("tail_known"))
     base = math.log10(lex.total + lex.distinct + 1)
-    out = coded.select("key", "id", "train", "n_tokens", "known", "base", "rare", "n_rare", forward(F.col("ids")).alias("forward")).join(tail, "key", "left")
+    out = coded.select("key", "id", "train", "n_tokens", "known", "base", "rare", forward(F.col("ids")).alias("forward")).join(tail, "key", "left")
     tail_sum = F.coalesce("tail_sum", F.lit(0.0))
     return out.select(
         F.col("id").alias(id_col),
@@ -322,5 +347,5 @@ def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "
         (F.col("known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"),
         (F.col("base") + tail_sum - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (F.col("forward") + F.col("rare") + tail_sum - F.col("n_rare") * F.lit(math.log10(lex.rare_mass))).alias("score"),
+        (F.col("forward") + F.col("rare") + tail_sum).alias("score"),
     )

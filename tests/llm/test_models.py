@@ -29,13 +29,15 @@ def test_forward_is_the_sum_over_paths():
         assert abs(got - math.log10(want)) < 1e-9
 
 
-def test_expected_counts_are_the_sums_over_paths():
+@pytest.mark.parametrize("chunk", [2048, 2])
+def test_expected_counts_are_the_sums_over_paths(monkeypatch, chunk):
+    monkeypatch.setattr(hmm, "CHUNK", chunk)
     m, rng = tiny_model(2, 3), np.random.default_rng(3)
-    seqs = [rng.integers(0, 3, n) for n in (4, 6, 1, 6)]
+    seqs = [rng.integers(0, 3, n) for n in (4, 6, 1, 6, 7)]
     got = hmm.Expected.none(m)
-    got.add(seqs, np.array([True, True, True, False]), m)
+    got.add(seqs, m)
     start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2))
-    for k, seq in enumerate(seqs):
+    for seq in seqs:
         ways = {}
         for path in product(range(2), repeat=len(seq)):
             p = m.start[path[0]] * m.emit[seq[0], path[0]]
@@ -44,7 +46,7 @@ def test_expected_counts_are_the_sums_over_paths():
             ways[path] = p
         z = sum(ways.values())
         for path, p in ways.items():
-            start[path[0]] += p / z * (k < 3)
+            start[path[0]] += p / z
             for t, h in enumerate(path):
                 emit[seq[t], h] += p / z
                 if t:
@@ -52,6 +54,65 @@ def test_expected_counts_are_the_sums_over_paths():
     assert np.allclose(got.start, start) and np.allclose(got.move, move) and np.allclose(got.emit, emit)
 
 
+def test_groups_of_like_length():
+    texts = [np.zeros(n) for n in (1, 5, 3, 5000, 70, 6, 64, 127, 1)]
+    groups = list(hmm.alike(iter(texts)))
+    assert sum(map(len, groups)) == len(texts) and all(max(map(len, g)) < 2 * min(map(len, g)) + 1 for g in groups)
+
+
+def plain_scores(rows, learn, symbols, states, rounds):
+    """The whole model by plain definitions: counts, classes, Baum-Welch one text and one step at a time, and the likelihood."""
+    texts = {i: hmm.words((t or "").encode()) for i, (_, t) in enumerate(rows)}
+    counts = Counter()
+    for i, ws in texts.items():
+        if learn(rows[i][0]):
+            counts.update([*ws, hmm.END])
+    ranked = sorted((w for w in counts if w != hmm.END), key=lambda w: (-counts[w], w))[:symbols]
+    number = {w: k for k, w in enumerate(ranked)} | {hmm.END: len(ranked) + hmm.CLASSES}
+    symbol = lambda w: number.get(w, len(ranked) + hmm.class_of(w))
+    mass = np.ones(hmm.CLASSES)
+    for w, c in counts.items():
+        if w not in number:
+            mass[hmm.class_of(w)] += c + 1
+    p = np.array([counts[w] + 1.0 for w in ranked] + [*mass, counts[hmm.END] + 1.0])
+    p /= p.sum()
+    emit = p[:, None] * (0.5 + np.random.default_rng(7).random((len(p), states)))
+    emit /= emit.sum(0)
+    move = np.full((states, states), (1 - hmm.STAY) / (states - 1)) + (hmm.STAY - (1 - hmm.STAY) / (states - 1)) * np.eye(states)
+    start = np.full(states, 1 / states)
+
+    def forward(seq):
+        out, a, total = [], None, 0.0
+        for x in seq:
+            a = (start if a is None else a @ move) * emit[x]
+            total += math.log10(a.sum())
+            out.append(a / a.sum())
+            a = out[-1]
+        return out, total
+
+    for _ in range(rounds):
+        n_start, n_move, n_emit = np.ones(states), hmm.STAY * np.eye(states) + (1 - hmm.STAY), hmm.PRIOR * p[:, None] * np.ones(states)
+        for i, ws in texts.items():
+            if learn(rows[i][0]):
+                seq = [symbol(w) for w in [*ws, hmm.END]]
+                alphas, beta = forward(seq)[0], np.ones(states)
+                for t in reversed(range(len(seq))):
+                    if t < len(seq) - 1:
+                        both = np.outer(alphas[t], emit[seq[t + 1]] * beta) * move
+                        n_move += both / both.sum()
+                        beta = move @ (emit[seq[t + 1]] * beta)
+                        beta /= beta.sum()
+                    post = alphas[t] * beta
+                    n_emit[seq[t]] += post / post.sum()
+                n_start += post / post.sum()
+        start, move, emit = n_start / n_start.sum(), n_move / n_move.sum(1, keepdims=True), n_emit / n_emit.sum(0)
+    out = {}
+    for i, ws in texts.items():
+        share = sum(math.log10((counts[w] + 1) / mass[hmm.class_of(w)]) for w in ws if w not in number)
+        out.setdefault(rows[i][0], []).append(forward([symbol(w) for w in [*ws, hmm.END]])[1] + share)
+    return out
+
+
 @pytest.mark.parametrize("lookup,symbols", [(1000, 500), (5, 3)])
 def test_scores_against_brute_force(spark, sf, lookup, symbols):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
@@ -69,7 +130,9 @@ def test_scores_against_brute_force(spark, sf, lookup, symbols):
         ws = [w.decode() for w in hmm.words((text[r.doc_id] or "").encode())] + ["\n"]
         assert r.train == (r.doc_id % 3 != 0) and (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in counts for w in ws), n)
         assert abs(r.base_score - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) < 1e-6
-        assert r.score < 0
+    want = plain_scores(rows, lambda d: d % 3 != 0, symbols, 3, 2)
+    for r in got:
+        assert abs(r.score - want[r.doc_id][0]) < 1e-6 * max(1, abs(r.score))
 
 
 def test_probabilities_sum_to_one(spark):
@@ -77,8 +140,10 @@ def test_probabilities_sum_to_one(spark):
     lex = hmm.lexicon(hmm.count_words(texts), 3, 2)
     m = hmm.initial(lex, 4)
     assert np.allclose(m.emit.sum(0), 1) and lex.total == 9 and lex.distinct == 5 and lex.ends == 3
-    rare = [c for w, c in {"a": 3, "b": 1, "c": 1, "d": 1}.items() if lex.number.get(w.encode(), 99) >= 2]
-    assert lex.rare_mass == sum(c + 1 for c in rare) + 1
+    rare = {w: c for w, c in {"a": 3, "b": 1, "c": 1, "d": 1}.items() if lex.number.get(w.encode(), 99) >= 2}
+    assert lex.mass.sum() == sum(c + 1 for c in rare.values()) + hmm.CLASSES
+    for w, c in rare.items():
+        assert lex.mass[hmm.class_of(w.encode())] >= c + 2
 
 
 def test_hmm_beats_its_base_on_held_out_text(spark, sf):
