@@ -89,10 +89,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learnt from rows outside the held-out fold."""
-    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    train = _fold("doc_id", 5) != 0
-    scored = docs.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), quality(docs, docs.where(train), labels.where(train)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    held_out = (_fold("doc_id", 5) == 0).alias("held_out")
+    return quality(docs, labels, _fold("doc_id", 5) != 0).select("row.doc_id", "score").select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

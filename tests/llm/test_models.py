@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosegauge.llm import hmm
-from prosegauge.llm.quality import FEATURES, elkan_noto, features, fit_risk, quality
+from prosegauge.llm import quality as Q
 
 
 def tiny_model(states, symbols):
@@ -164,24 +164,84 @@ def test_quality_held_out(spark, sf):
     big = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
-    s = docs.where(~train).withColumn("s", quality(docs, docs.where(train), labels.where(train))).join(labels, "doc_id").toPandas()
+    s = Q.quality(docs, labels, train).select("row.doc_id", F.col("score").alias("s")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).join(labels, "doc_id").toPandas()
     assert ((s.s >= 0.3) == (s.quality == 1)).mean() > 0.93
 
 
 def test_quality_edges(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 50_000), (None, "a b"), (4, "one two three.")], "doc_id long, text string").withColumn("quality", F.lit("clash"))
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 50_000), (None, "a b"), (4, "one two three."), (4, "one two three.")], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("quality", "id", "s", "row", "score", "train")})
     labels = spark.createDataFrame([(3, 1), (4, 1), (4, None), (2, 0), (None, 1)], "doc_id long, quality int")
-    got = [r.s for r in docs.select(quality(docs, docs, labels).alias("s")).collect()]
-    assert all(0 <= x <= 1 for x in got) and got[0] == got[1]
-    assert {r.s for r in docs.select(quality(docs, docs, labels.limit(0)).alias("s")).collect()} == {0.5}
-    assert docs.limit(0).select(quality(docs, docs.limit(0), labels).alias("s")).count() == 0
+    got = Q.quality(docs, labels).collect()
+    score = {}
+    for r in got:
+        assert 0 <= r.score <= 1 and r.row.id == "clash"
+        score.setdefault(r.row.doc_id, []).append(r.score)
+    assert score[1] == score[2] and len(set(score[4])) == 1 and len(got) == 6
+    assert {r.score for r in Q.quality(docs, labels.limit(0)).collect()} == {0.5}
+    assert Q.quality(docs.limit(0), labels).count() == 0
+    # twice the labels of which one is 0: no positive
+    twice = labels.union(labels.selectExpr("doc_id", "0"))
+    assert {r.score for r in Q.quality(docs, twice).collect()} == {0.5}
+
+
+def brute_risk(x, pos, w, prior):
+    """The non-negative risk by its definition, and the term that must not be negative."""
+    z = x @ w
+    p_pos, p_neg, u_neg = np.logaddexp(0, -z[pos]).mean(), np.logaddexp(0, z[pos]).mean(), np.logaddexp(0, z).mean()
+    second = u_neg - prior * p_neg
+    return prior * p_pos + max(0.0, second) + Q.ridge_of(len(x)) / 2 * (w[:-1] ** 2).sum(), second
+
+
+def test_scores_minimise_the_risk(spark, sf):
+    """Against a plain search over the whole risk on the same rows: no direction improves on the model, and scores are its probabilities."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    table = docs.select("doc_id", Q.feature_column(F.col("text")).alias("x")).join(labels.where("quality = 1"), "doc_id", "left").select("doc_id", "x.s", "x.g", F.col("quality").isNotNull().alias("pos")).cache()
+    model = Q.fit(table)
+    local = table.toArrow()
+    x = model.matrix(local.column("s").combine_chunks(), local.column("g").combine_chunks()).astype(float)
+    pos = local.column("pos").to_numpy().astype(bool)
+    at, second = brute_risk(x, pos, model.weights, model.prior)
+    assert second >= -1e-6 and at < brute_risk(x, pos, np.zeros_like(model.weights), model.prior)[0]
+    if second > 1e-3:
+        rng = np.random.default_rng(1)
+        for scale in (1e-2, 1e-1):
+            for _ in range(30):
+                assert brute_risk(x, pos, model.weights + scale * rng.standard_normal(len(model.weights)), model.prior)[0] > at - 1e-4
+    for got, row in zip(model.score(x), x, strict=True):
+        assert abs(got - 1 / (1 + math.exp(-float(row @ model.weights)))) < 1e-6
+    text = next(r.text for r in docs.collect() if r.text and len(r.text) > 50).encode()
+    share = Counter()
+    for a, b, c in zip(text, text[1:], text[2:], strict=False):
+        share[((a * 65_599 + b * 8_191 + c * 31) * 2_654_435_761 & 0xFFFFFFFF) >> 25] += 1 / (len(text) - 2)
+    assert all(abs(v - 255 * math.sqrt(share[k])) <= 0.51 for k, v in enumerate(Q.grams(text)))
+
+
+def test_partial_sums_add_up(spark, sf, monkeypatch):
+    monkeypatch.setattr(Q, "FAN", 2)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)
+    rows = docs.select(Q.feature_column(F.col("text")).alias("x"), (F.col("doc_id") % 3 == 0).alias("pos")).select("x.s", "x.g", "pos")
+    model = Q.Model(np.zeros((len(Q.FEATURES), len(Q.CUTS))))
+    size = model.cuts.size + Q.GRAMS + 1
+    got, one = Q.summed(rows, model, np.full(size, 0.01)), Q.summed(rows.coalesce(1), model, np.full(size, 0.01))
+    assert np.allclose(got.flat(), one.flat(), rtol=1e-3, atol=1e-2)
+
+
+def test_best_bin_prior():
+    rng = np.random.default_rng(0)
+    for prior in (0.3, 0.6, 0.9):
+        pos, neg = rng.normal(1.5, 1, 40_000), rng.normal(-1.5, 1, 40_000)
+        unl = np.concatenate([pos[: int(20_000 * prior)], neg[: int(20_000 * (1 - prior))]])
+        bins = np.linspace(-6, 6, 400)
+        count = lambda v: np.histogram(v, bins)[0][::-1]
+        assert abs(Q.best_bin(count(unl), count(pos[20_000:])) - prior) < 0.08
 
 
-def test_non_negative_risk_and_prior():
+def test_non_negative_risk():
     rng = np.random.default_rng(0)
-    pos, neg = (rng.random((2000, 3)) < 0.9).astype(np.float32), (rng.random((2000, 3)) < 0.1).astype(np.float32)
-    unl = np.vstack([pos[:1200], neg[:800]])
-    w, b = fit_risk(pos, unl, 0.6)
-    assert ((pos @ w + b) > 0).mean() > 0.95 and ((neg @ w + b) < 0).mean() > 0.95
-    assert 0.4 < elkan_noto(pos, unl) < 0.8
-    assert len(features(b"A b. c|d\n")) == len(FEATURES) and features(None) == features(b" \n")
+    pos, neg = (rng.random((2000, 3)) < 0.9), (rng.random((2000, 3)) < 0.1)
+    x = np.hstack([np.vstack([pos, pos[:1200], neg[:800]]), np.ones((4000, 1))]).astype(np.float32)
+    known = np.arange(4000) < 2000
+    w = Q.minimise(lambda w: Q.Sums.over(x, known, w), 4, 0.8)
+    assert ((x[known] @ w) > 0).mean() > 0.9 and ((x[3200:] @ w) < 0).mean() > 0.7
+    assert len(Q.features(b"A b. c|d\n")) == len(Q.FEATURES) and Q.features(None) == Q.features(b" \n") and Q.grams(None) == bytes(Q.GRAMS)
