@@ -194,7 +194,8 @@ def _one_pass(text: Column, sent, min_span: int) -> Column:
     def of(texts: pa.Array) -> pa.Array:
         return _result([judge(t.as_py(), [sent.value], min_span) for t in texts.cast(pa.binary())])
 
-    return of(text)
+    # one call a row, also where a filter and a projection both read it
+    return of.asNondeterministic()(text)
 
 
 def _found(text: Column, sent) -> Column:
@@ -206,7 +207,7 @@ def _found(text: Column, sent) -> Column:
         rows = [a.read(words(t.as_py() or b"")) for t in texts.cast(pa.binary())]
         return pa.StructArray.from_arrays([_spans([r[0] for r in rows]), pa.array([sorted(a.names[k] for k in r[1]) for r in rows], pa.list_(pa.string()))], ["spans", "items"])
 
-    return of(text)
+    return of.asNondeterministic()(text)
 
 
 def _summed(text: Column, spans: Column, items: Column, min_span: int) -> Column:
@@ -217,7 +218,7 @@ def _summed(text: Column, spans: Column, items: Column, min_span: int) -> Column
         rows = zip(texts.cast(pa.binary()), spans.to_pylist(), items.to_pylist(), strict=True)
         return _result([cut(t.as_py(), [[x["start"], x["end"]] for x in found or []], set(names or []), min_span) for t, found, names in rows])
 
-    return of(text, spans, items)
+    return of.asNondeterministic()(text, spans, items)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, min_span: int = 1, block_words: int = 200_000) -> DataFrame:

@@ -33,7 +33,7 @@ UND = "und"
 PIECE = 400
 SEGMENT = 512
 #: Characters parsed abreast, and entries of dense tables, bounds on a worker's memory.
-ABREAST, DENSE = 1 << 20, 1 << 24
+ABREAST, DENSE = 1 << 19, 1 << 24
 SPACE = 0
 
 
@@ -48,10 +48,21 @@ class Table:
     to: np.ndarray
     dense: np.ndarray | None = None
 
+    def __post_init__(self) -> None:
+        # from the root, by letter
+        self.root = np.zeros(self.width, self.to.dtype)
+        first = (self.keys >= 0) & (self.keys < self.width)
+        self.root[self.keys[first]] = self.to[first]
+
+    @property
+    def kind(self) -> type:
+        return self.to.dtype.type
+
     def spread(self) -> None:
         """From edges to a dense table."""
         self.dense = np.zeros(int(self.to.max(initial=0)) + self.width, np.int32)
-        self.dense[self.keys] = self.to
+        self.dense[self.keys[self.keys >= 0]] = self.to[self.keys >= 0]
+        self.root, self.keys, self.to = self.root.astype(np.int32), self.keys[:0], self.to[:0].astype(np.int32)
 
     def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         key = state + letter
@@ -166,14 +177,14 @@ def phrases(lanes: np.ndarray, length: np.ndarray, before: np.ndarray, table: Ta
     """Phrases that begin in each lane. lanes: [step, lane] letter classes, the longest lane first; before: the lane that goes on in this one, or -1."""
     lanes = table.own[lanes]
     n, active = lanes.shape[1], np.searchsorted(-length, -np.arange(len(lanes)), side="left")
-    states, begins = np.zeros(lanes.shape, np.int64), np.zeros(lanes.shape, bool)
-    state, entry = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    states, begins = np.zeros(lanes.shape, table.kind), np.zeros(lanes.shape, bool)
+    state, entry = np.zeros(n, table.kind), np.zeros(n, table.kind)
 
     def go(now: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         to = table.step(now, c)
         new = to == 0
         # a new phrase starts where the old one cannot go on; at the root, the first one does
-        return np.where(new, table.step(np.zeros_like(now), c), to), new | (now == 0)
+        return np.where(new, table.root[c], to), new | (now == 0)
 
     for t, k in enumerate(active):
         state[:k], begins[t, :k] = go(state[:k], lanes[t, :k])
@@ -255,4 +266,5 @@ def language_id(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
         cols = list(zip(*rows, strict=True)) or [()] * 3
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["lang_pred", "score", "entropy"])
 
-    return of(F.col(text_col))
+    # one call a row, also where a filter and a projection both read it
+    return of.asNondeterministic()(F.col(text_col))
