@@ -93,4 +93,4 @@ def in_list(word: Column, entries: tuple[str, ...]) -> Column:
     return word.isin(*entries)
 
 
-CONTRACTION = "(?i)(?<![\\p{L}\\p{N}_])(" + "|".join(L.CONTRACTIONS) + ")(?![\\p{L}\\p{N}_])"
+CONTRACTION = "(?i)(?<![\\p{L}\\p{N}_])(" + L.CONTRACTIONS + ")(?![\\p{L}\\p{N}_])"

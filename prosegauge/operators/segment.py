@@ -1,8 +1,8 @@
 """Paragraphs and sentences with code-point offsets.
 
 A sentence ends after ``.``, ``!`` or ``?`` where closers, white space and then a capital, a quote or an opening bracket follow, unless the
-stop belongs to an abbreviation. Boundaries are marked by two control characters, texts are split at the marks, and a window
-per document turns piece lengths into offsets: one shuffle by document, which all later per-document steps reuse.
+stop belongs to an abbreviation. One pattern marks those places with two control characters, each text is split once, and one window
+per document, ordered by piece, turns the pieces' lengths into offsets and their runs of newlines into paragraph numbers.
 """
 
 from __future__ import annotations
@@ -14,60 +14,46 @@ from prosegauge.functions.lexicons import ABBREVIATIONS
 from prosegauge.functions.text import BLANK
 
 END, NEXT = "\x01", "\x02"
-BOUNDARY = rf"([.!?])([\"')\]]*{BLANK}+)([\"'(\[A-Z])"
-ABBREVIATED = r"(?i)(^|[^\p{L}\p{N}_])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + rf")\.{END}([^{NEXT}]*){NEXT}"
+#: The stop is asked for first, so that all else is only tried at stops.
+ABBREVIATED = r"(?<!(?<![\p{L}\p{N}_])(?i:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.)"
+BOUNDARY = rf"([.!?]){ABBREVIATED}([\"')\]]*+{BLANK}++)(?=[\"'(\[A-Z])"
 SPACES = " \t\n\r\f\x0b"
+#: Runs of white space with one newline or more, and with two or more.
+LINE_GAP, BLANK_LINE = rf"\n{BLANK}*+", rf"\n[ \t\r\f\x0B]*+\n{BLANK}*+"
 
 
 def marked(text: Column) -> Column:
     """The text with END before and NEXT after the gap at each sentence boundary."""
     t = F.translate(F.coalesce(text, F.lit("")), END + NEXT, "")
-    t = F.regexp_replace(t, BOUNDARY, f"$1{END}$2{NEXT}$3")
-    # twice: neighbouring abbreviations share a character
-    return F.regexp_replace(F.regexp_replace(t, ABBREVIATED, "$1$2.$3"), ABBREVIATED, "$1$2.$3")
+    return F.regexp_replace(t, BOUNDARY, f"$1{END}$2{NEXT}")
 
 
-def paragraph_starts(text: Column) -> Column:
-    """Offsets of non-blank paragraphs: parted by blank lines, or by single newlines where there is one paragraph only."""
-    t = F.coalesce(text, F.lit(""))
-
-    def starts(pattern: str) -> Column:
-        pieces = F.split(F.regexp_replace(t, pattern, f"{END}$0{NEXT}"), NEXT, -1)
-        sizes = F.transform(
-            pieces,
-            lambda p: F.named_struct(F.lit("n"), F.length(p) - F.when(p.contains(END), 1).otherwise(0), F.lit("full"), F.trim(F.split_part(p, F.lit(END), F.lit(1)), F.lit(SPACES)) != ""),
-        )
-        at, out = F.lit("at"), F.lit("out")
-        walked = F.aggregate(
-            sizes,
-            F.named_struct(at, F.lit(0), out, F.array().cast("array<int>")),
-            lambda a, s: F.named_struct(at, a["at"] + s["n"], out, F.when(s["full"], F.concat(a["out"], F.array(a["at"]))).otherwise(a["out"])),
-        )
-        return walked["out"]
-
-    blank_lines = starts(rf"\n{BLANK}*\n")
-    return F.when((F.size(blank_lines) <= 1) & t.contains("\n"), starts("\n")).otherwise(blank_lines)
+def by_blank_lines(text: Column) -> Column:
+    """Are there blank lines between parts of the text? Else single newlines part its paragraphs."""
+    return F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES)).rlike(r"\n[ \t\r\f\x0B]*\n")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_id, para_id, start, end, text); ids count from 0 without gaps, empty pieces are dropped."""
-    # paragraph starts first: beside the generator they would be computed for each sentence. The outer form: for the
-    # plain one a filter on the number of pieces is inferred, which splits each text twice
-    starts = docs.select("doc_id", "text", paragraph_starts(F.col("text")).alias("paras"))
-    pieces = starts.select("doc_id", "paras", F.posexplode_outer(F.split(marked(F.col("text")), NEXT, -1)).alias("i", "piece"))
-    has_gap = F.when(F.col("piece").contains(END), 1).otherwise(0)
+    # the outer form: for the plain one a filter on the number of pieces is inferred, which splits each text twice
+    pieces = docs.select("doc_id", by_blank_lines(F.col("text")).alias("blank"), F.posexplode_outer(F.split(marked(F.col("text")), NEXT, -1)).alias("i", "piece"))
+    # white space before the first sentence is no gap between paragraphs
+    seen = F.when(F.col("i") == 0, F.ltrim(F.col("piece"), F.lit(SPACES))).otherwise(F.col("piece"))
+    gaps = F.when(F.col("blank"), F.regexp_count(seen, F.lit(BLANK_LINE))).otherwise(F.regexp_count(seen, F.lit(LINE_GAP)))
+    raw = F.split_part(F.col("piece"), F.lit(END), F.lit(1))
+    n = F.length("piece") - F.when(F.col("piece").contains(END), 1).otherwise(0)
+    parts = pieces.select("doc_id", "i", n.alias("n"), gaps.alias("gaps"), raw.alias("raw"))
     by = Window.partitionBy("doc_id").orderBy("i")
-    parts = pieces.withColumns({"raw": F.split_part(F.col("piece"), F.lit(END), F.lit(1)), "n": F.length("piece") - has_gap})
-    parts = parts.withColumn("at", F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"at": F.coalesce(F.sum("n").over(before), F.lit(0)), "para": F.coalesce(F.sum("gaps").over(before), F.lit(0))})
     parts = parts.withColumns({"text": F.trim(F.col("raw"), F.lit(SPACES)), "start": F.col("at") + F.length("raw") - F.length(F.ltrim(F.col("raw"), F.lit(SPACES)))}).where("text <> ''")
-    # the last paragraph that starts at or before the sentence; paragraphs without a sentence do not count
-    para = F.greatest(F.lit(0), F.size(F.filter("paras", lambda p: p <= F.col("start"))) - 1)
-    parts = parts.withColumn("para", para)
-    order = Window.partitionBy("doc_id").orderBy("start")
+    # paragraphs in which no sentence starts do not count
+    fresh = F.when(F.col("para") == F.lag("para", 1).over(by), 0).otherwise(1)
+    parts = parts.withColumn("fresh", fresh)
     return parts.select(
         "doc_id",
-        (F.row_number().over(order) - 1).cast("long").alias("sent_id"),
-        (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("para")) - 1).cast("long").alias("para_id"),
+        (F.row_number().over(by) - 1).cast("long").alias("sent_id"),
+        (F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long").alias("para_id"),
         F.col("start").cast("long").alias("start"),
         (F.col("start") + F.length("text")).cast("long").alias("end"),
         "text",
@@ -75,6 +61,6 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_paragraphs, n_sentences, first_start): counts per document."""
+    """(doc_id, para_id, n_sentences, start, end): a row a paragraph."""
     s = sentences(docs)
     return s.groupBy("doc_id", "para_id").agg(F.count("sent_id").alias("n_sentences"), F.min("start").alias("start"), F.max("end").alias("end"))

@@ -72,7 +72,7 @@ def _per(x: str, per: str = "100.0") -> str:
 
 
 # boundaries are doubled first, so that neighbouring contractions do not share one
-_CONTRACTED = "len(regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'), " + q(r"(?i)(^|[^\p{L}\p{N}_])(" + "|".join(c.replace("'", "''") for c in L.CONTRACTIONS) + r")($|[^\p{L}\p{N}_])") + "))"
+_CONTRACTED = "len(regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'), " + q(r"(?i)(^|[^\p{L}\p{N}_])(" + L.CONTRACTIONS + r")($|[^\p{L}\p{N}_])") + "))"
 _PUNCT = "[,.;:!?–()\\[\\]\"'…-]"
 _VALUES = [
     "n",

@@ -11,6 +11,7 @@ from prosegauge.functions import text as T
 from prosegauge.operators import corpus as C
 from prosegauge.operators import decide as V
 from prosegauge.operators import document as D
+from prosegauge.operators import features as X
 from prosegauge.operators import segment
 from prosegauge.operators.limiter import sliding_limit
 from prosegauge.operators.surface import STY
@@ -71,7 +72,29 @@ def _scrubbed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(T.scrub(F.col("text")).cast("binary"), 256).alias("scrubbed"))
 
 
+def _rounded(df: DataFrame, *keys: str, places: int = 6) -> DataFrame:
+    return df.select(*keys, *(F.round(c, places).alias(c) for c in df.columns if c not in keys))
+
+
+def _on_sentences(op: Callable[[DataFrame], DataFrame], *keys: str) -> Query:
+    return lambda spark, sf_dir: _rounded(op(X.sentence_table(read_table(spark, sf_dir, "documents").select("doc_id", "text"))), *(keys or ("doc_id",)))
+
+
+def _token_lm(docs: DataFrame) -> DataFrame:
+    return _rounded(X.token_table(D.sentence_words(docs)).withColumn("pos", F.col("pos").cast("long")), "doc_id", "sent_id", "pos", "w", "word_rank")
+
+
 QUERIES: dict[str, Query] = {
+    "token_lm": _on_documents(_token_lm),
+    "token_sentences": _on_documents(lambda docs: X.anchored(X.word_positions(docs), segment.sentences(docs))),
+    "sentence_lm_features": _on_sentences(lambda s: s.select("doc_id", "sent_id", *X.LM), "doc_id", "sent_id"),
+    "whole_lm_features": _on_sentences(lambda s: s.groupBy("doc_id").agg(*(F.first(f"whole_{c}").alias(f"whole_{c}") for c in X.LM))),
+    "context_features": _on_sentences(lambda s: X.context(s).select("doc_id", "sent_id", *X.CTX), "doc_id", "sent_id"),
+    "shift_features": _on_sentences(lambda s: X.shift(X.context(s))),
+    "agg_features": _on_sentences(lambda s: X.rolled_up(X.context(s))),
+    "rhythm_lm": _on_sentences(lambda s: X.rhythm_rest(X.context(s))),
+    "repetition_structure": _on_documents(lambda docs: _rounded(X.repetition_rest(docs, D.sentence_words(docs)), "doc_id")),
+    "essay_context": _on_sentences(X.essay_context),
     "sentence_split": _on_documents(segment.sentences),
     "paragraph_spans": _on_documents(segment.paragraphs),
     "surface_features": _on_documents(_surface),
