@@ -48,7 +48,7 @@ sp AS (SELECT key_hash, group_id, stratum, n_docs, CASE WHEN r <= t THEN 'train'
 )
 
 ORACLES: dict[str, str] = {
-    "request_rules": f"""WITH {REQUESTS} SELECT doc_id, octet_length(encode(text)) > 1000000 AS too_large, {_BAD} AS error_code, CASE {_BAD} WHEN 'essay_empty' THEN 422 WHEN 'essay_too_long' THEN 413 WHEN 'essay_too_short' THEN 422 END AS http_status,
+    "request_rules": f"""WITH {REQUESTS} SELECT doc_id, octet_length(encode(text)) > 1000000 AS too_large, {_BAD} AS error_code, CASE {_BAD} WHEN 'essay_empty' THEN 422 WHEN 'essay_too_long' THEN 413 WHEN 'essay_too_short' THEN 422 ELSE 200 END AS http_status,
         CASE WHEN {_N} < 300 THEN 'short' WHEN {_N} < 600 THEN 'medium' ELSE 'long' END AS length_band, CASE WHEN {_N} < 200 THEN '<200' WHEN {_N} < 280 THEN '200-280' ELSE '>=280' END AS word_band, (coalesce(requested, false) OR len(text) >= 25000) AS queued,
         save IS DISTINCT FROM false AS store_text, coalesce(nullif(trim(string_split(coalesce(forwarded, ''), ',')[1]), ''), host, 'unknown') AS client, len(text)::BIGINT AS chars, {_N}::BIGINT AS words, sha256(text)[1:16] AS digest, sha256({_HASH})[1:24] AS essay_id,
         CASE WHEN save IS DISTINCT FROM false THEN text END AS stored_text FROM rq""",
@@ -79,15 +79,15 @@ ORACLES: dict[str, str] = {
     "latest_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS at, count(*) AS writes FROM events GROUP BY user_id",
     "retention_purge": """WITH kp AS (SELECT e.* FROM events e WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS)
         SELECT 'events' AS tab, event_id AS id FROM kp UNION ALL SELECT 'users', user_id FROM (SELECT DISTINCT user_id FROM events) u WHERE EXISTS (SELECT 1 FROM kp WHERE kp.user_id = u.user_id)""",
-    "keyed_upsert": """WITH un AS (SELECT c_custkey AS k, c_acctbal AS v, TIMESTAMP '1990-01-01' AS at, 0 AS o FROM customer UNION ALL SELECT o_custkey, o_totalprice, o_orderdate::TIMESTAMP, o_orderkey FROM orders)
-        SELECT k AS key, v AS value, o AS version FROM un QUALIFY row_number() OVER (PARTITION BY k ORDER BY at DESC, o DESC) = 1""",
+    "keyed_upsert": """WITH un AS (SELECT c_custkey AS k, c_acctbal AS v, TIMESTAMP '1990-01-01' AS written, 0 AS o FROM customer UNION ALL SELECT o_custkey, o_totalprice, o_orderdate::TIMESTAMP, o_orderkey FROM orders)
+        SELECT k AS key, v AS value, o AS version FROM un QUALIFY row_number() OVER (PARTITION BY k ORDER BY written DESC, o DESC) = 1""",
     "insert_if_absent": "SELECT c_custkey, c_mktsegment AS origin FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)",
     "cascade_delete": "SELECT 'customer' AS tab, c_custkey AS id FROM customer WHERE NOT c_acctbal < 0 UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "cache_lookup": """WITH ca AS (SELECT event_type || ':' || user_id AS key, ts + INTERVAL 86400 SECONDS AS expires, event_id FROM events WHERE event_type IN ('view', 'purchase')), lt AS (SELECT key, max((expires, event_id)) AS e FROM ca GROUP BY key)
         SELECT user_id, lt.e IS NOT NULL AND struct_extract_at(lt.e, 1) > TIMESTAMP '2024-01-30 00:00:00' AS hit FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN lt ON lt.key = 'view:' || u.user_id""",
     "latest_versions": "SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 3",
     "rate_limit_fixed": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id, floor(epoch(ts) / 60) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nth, count(*) OVER (PARTITION BY user_id, floor(epoch(ts) / 60) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 30 AS allowed FROM events",
-    "json_properties": "SELECT event_id, TRY_CAST(props ->> '$.k' AS BIGINT) AS k, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, props AS again FROM events",
+    "json_properties": "SELECT event_id, TRY_CAST(props ->> '$.k' AS BIGINT) AS k, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, json(props)::VARCHAR AS again FROM events",
     "health_rollup": "SELECT user_id, CASE WHEN NOT bool_or(event_type = 'signup') THEN 'unavailable' WHEN bool_or(event_type = 'error') THEN 'degraded' ELSE 'ok' END AS status FROM events GROUP BY user_id",
     "rate_limit_sliding": """WITH RECURSIVE ev AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS i FROM events),
         st AS (SELECT event_id, user_id, t, i, true AS allowed, 0::BIGINT AS retry_after, [t] AS log FROM ev WHERE i = 1

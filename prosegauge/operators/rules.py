@@ -56,8 +56,8 @@ def safe_meta(text: Column) -> Column:
 
 
 def error_of(text: Column) -> tuple[Column, Column]:
-    """(code, HTTP status) of an unfit text, null for a fit one."""
-    verdict, code, status = T.verdict_of_length(text), F.lit(None).cast("string"), F.lit(None).cast("int")
+    """(code, HTTP status) of a text; no code and 200 for a fit one."""
+    verdict, code, status = T.verdict_of_length(text), F.lit(None).cast("string"), F.lit(200)
     for k, (name, number) in ERROR_CODES.items():
         code, status = F.when(verdict == k, name).otherwise(code), F.when(verdict == k, number).otherwise(status)
     return code, status

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosegauge.functions import text as T
@@ -12,6 +12,9 @@ from prosegauge.operators import corpus as C
 from prosegauge.operators import decide as V
 from prosegauge.operators import document as D
 from prosegauge.operators import features as X
+from prosegauge.operators import preparation as G
+from prosegauge.operators import rules as R
+from prosegauge.operators import store as S
 from prosegauge.operators import segment
 from prosegauge.operators.limiter import sliding_limit
 from prosegauge.operators.surface import STY
@@ -72,6 +75,105 @@ def _scrubbed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(T.scrub(F.col("text")).cast("binary"), 256).alias("scrubbed"))
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made of documents: who asks, and how."""
+    forwarded = F.when(F.col("lang") == "de", " 10.0.0.7 , 10.0.0.1").when(F.col("lang") == "fr", "")
+    save = F.when(F.col("lang") == "es", F.lit(False)).when(F.col("lang") == "en", F.lit(True))
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text", forwarded.alias("forwarded"), F.col("source").alias("host"), save.alias("save"), (F.col("source") == "src3").alias("requested"))
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    wrapped = F.concat(F.lit("  Here is the essay:\n# Title\n\n"), F.coalesce("text", F.lit("")), F.lit("\n(Word count: 120)"))
+    topic = F.concat(F.coalesce("source", F.lit("")), F.lit(" / "), F.coalesce("lang", F.lit("")))
+    return docs.select("doc_id", F.sha2(R.clean_generated(wrapped).cast("binary"), 256).alias("cleaned"), R.slug(topic, 32).alias("slug"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.stand_in_scores(D.sentence_words(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("score")
+    return _scored(spark, sf_dir).select("doc_id", "sent_id", R.colour_band(s).alias("colour"), F.round(10 * s).cast("long").alias("blocks"), R.bar_width(s - 0.5).alias("bar"))
+
+
+def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["sty_ttr", "lm_perplexity", "agg_mean_lm_frac_top1", "bur_cv_sent_len", "doc_log_n_words", "cor_char_sim_human", "shift_n_changepoints", "rep_distinct2", "odd"]
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.posexplode(F.array(*map(F.lit, names))).alias("i", "feature"))
+    value = (F.pmod(F.col("doc_id") * (F.col("i") + 1) * 31 + F.col("n_chars"), F.lit(1000)) - 500) / 1000.0
+    return rows.select("doc_id", "feature", F.when(F.col("i") == 8, 0.0).otherwise(value).alias("contribution"))
+
+
+def _pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.stand_in_predictions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.group_profile(read_table(spark, sf_dir, "documents"), l2=F.col("lang") == "es")
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.held_out_splits(_profile(spark, sf_dir))
+
+
+def _purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    kept, users = S.purged(events, events.select("user_id").distinct(), now, 7)
+    return kept.select(F.lit("events").alias("tab"), F.col("event_id").alias("id")).unionByName(users.select(F.lit("users").alias("tab"), F.col("user_id").alias("id")))
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, orders = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders")
+    parents, children = S.cascaded(customers, orders, customers.where("c_acctbal < 0"), "c_custkey", "o_custkey")
+    return parents.select(F.lit("customer").alias("tab"), F.col("c_custkey").alias("id")).unionByName(children.select(F.lit("orders").alias("tab"), F.col("o_orderkey").alias("id")))
+
+
+def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals written over account balances: the newest write of each customer stays."""
+    base = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"), F.lit("1990-01-01").cast("timestamp").alias("at"), F.lit(0).cast("long").alias("version"))
+    rows = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").cast("long").alias("version"))
+    return S.upserted(base, rows, ["key"], ["at", "version"]).select("key", "value", "version")
+
+
+def _insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers put among customers, but for keys that are taken."""
+    have = read_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("origin"))
+    return S.inserted(have, read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.lit("supplier").alias("origin")), ["c_custkey"])
+
+
+def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events")
+    key = lambda kind: F.concat(kind, F.lit(":"), F.col("user_id").cast("string"))
+    cache = S.cached(events.where("event_type in ('view', 'purchase')").select(key(F.col("event_type")).alias("key"), F.col("event_id").alias("value"), "ts"), R.RETENTION_SECONDS)
+    asked = events.select("user_id").distinct().withColumn("key", key(F.lit("view")))
+    return S.looked_up(asked, S.invalidated(cache, "purchase:"), F.lit("2024-01-30 00:00:00").cast("timestamp")).select("user_id", "hit")
+
+
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events")
+    return e.select("event_id", F.from_json("props", "k long").getField("k").alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.to_json(F.from_json("props", "map<string, long>")).alias("again"))
+
+
+def _fixed_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty requests a minute; refused ones count."""
+    e = read_table(spark, sf_dir, "events")
+    nth = F.row_number().over(Window.partitionBy("user_id", F.window("ts", "60 seconds")).orderBy("ts", "event_id")).cast("long")
+    return e.select("event_id", "user_id", nth.alias("nth"), (nth <= 30).alias("allowed"))
+
+
+def _latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"), F.count("event_id").alias("writes"))
+
+
+def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's sign-up stands for a loaded model, an error for a part that is down."""
+    has = lambda kind: F.bool_or(F.col("event_type") == kind)
+    return read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.when(~has("signup"), "unavailable").when(has("error"), "degraded").otherwise("ok").alias("status"))
+
+
 def _rounded(df: DataFrame, *keys: str, places: int = 6) -> DataFrame:
     return df.select(*keys, *(F.round(c, places).alias(c) for c in df.columns if c not in keys))
 
@@ -132,17 +234,35 @@ QUERIES: dict[str, Query] = {
     "losses": _on_pred(PV.LOSSES),
     "slice_metrics": _on_pred(PV.SLICES),
     "wilson_bias_by_language": _on_pred(PV.BIAS),
-    "confident_errors": _on_pred(PV.CONFIDENT_ERRORS),
     "error_rates": _on_pred(PV.ERROR_RATES),
     "scrub_pii": _whole(_scrubbed),
-    "latest_status": _on_tables(PS.LATEST, "events"),
-    "retention_purge": _on_tables(PS.PURGE, "events"),
-    "cascade_delete": _on_tables(PS.CASCADE, "orders", "customer"),
-    "insert_if_absent": _on_tables(PS.UPSERT, "customer", "orders"),
-    "recent_page": _on_tables(PS.PAGE, "events"),
-    "rate_limit_fixed": _on_tables(PS.FIXED_LIMIT, "events"),
+    "recent_page": lambda spark, sf_dir: S.page(read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), [F.desc("ts"), F.desc("event_id")], 20, 40).drop("ts"),
     "event_tumbling_counts": _on_tables(PS.TUMBLING, "events"),
-    "health_rollup": _on_tables(PS.HEALTH, "events"),
     "joined_results": _on_tables(PS.JOINED_RESULTS, "customer", "orders"),
+    "request_rules": lambda spark, sf_dir: R.request_rules(_requests(spark, sf_dir)),
+    "clean_generated": _generated,
+    "display_rules": _display,
+    "summary_counts": lambda spark, sf_dir: R.summary_counts(_scored(spark, sf_dir)),
+    "contribution_share": lambda spark, sf_dir: R.contribution_share(_contributions(spark, sf_dir)),
+    "top_contributions": lambda spark, sf_dir: R.top_contributions(_contributions(spark, sf_dir), 5),
+    "abstention": lambda spark, sf_dir: R.abstention(_pred(spark, sf_dir)),
+    "confident_errors": lambda spark, sf_dir: R.confident_errors(_pred(spark, sf_dir)),
+    "error_cases": lambda spark, sf_dir: R.case_texts(R.error_cases(_pred(spark, sf_dir)), read_table(spark, sf_dir, "documents"), "src5"),
+    "group_profile": lambda spark, sf_dir: _profile(spark, sf_dir).select("group_id", "n_docs", F.array_join("labels", "+").alias("labels"), F.array_join("topics", "+").alias("topics"), "l2"),
+    "assign_splits_held_out": lambda spark, sf_dir: _splits(spark, sf_dir).drop("key_hash"),
+    "split_documents": lambda spark, sf_dir: G.with_split(read_table(spark, sf_dir, "documents"), _splits(spark, sf_dir)).select("doc_id", "split"),
+    "split_crosstab": lambda spark, sf_dir: G.crosstab(G.with_split(read_table(spark, sf_dir, "documents"), _splits(spark, sf_dir))),
+    "data_regime": lambda spark, sf_dir: R.regime(read_table(spark, sf_dir, "documents")),
+    "empirical_length_bands": lambda spark, sf_dir: G.length_bands(read_table(spark, sf_dir, "documents")),
+    "latest_status": _latest_status,
+    "retention_purge": _purge,
+    "keyed_upsert": _upsert,
+    "insert_if_absent": _insert,
+    "cascade_delete": _cascade,
+    "cache_lookup": _cache,
+    "latest_versions": lambda spark, sf_dir: S.latest(read_table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 3).select("user_id", "event_id", "event_type", "place"),
+    "rate_limit_fixed": _fixed_limit,
+    "json_properties": _json,
+    "health_rollup": _health,
     "rate_limit_sliding": lambda spark, sf_dir: sliding_limit(read_table(spark, sf_dir, "events")),
 }
