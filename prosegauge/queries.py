@@ -11,7 +11,9 @@ from prosegauge.functions import text as T
 from prosegauge.operators import corpus as C
 from prosegauge.operators import decide as V
 from prosegauge.operators import document as D
+from prosegauge.operators import evidence as E
 from prosegauge.operators import features as X
+from prosegauge.operators import learn as M
 from prosegauge.operators import preparation as G
 from prosegauge.operators import rules as R
 from prosegauge.operators import store as S
@@ -22,6 +24,7 @@ from prosegauge.plans import corpus as PC
 from prosegauge.plans import decide as PV
 from prosegauge.plans import store as PS
 from prosegauge.plans.run import run
+from prosegauge.session import materialize
 from prosegauge.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,9 +48,88 @@ def _leak_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leak_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of the last three in ten ids (test and validation here) against all others (train)."""
-    docs = read_table(spark, sf_dir, "documents")
-    return C.leakage(docs.where(F.col("doc_id") % 10 >= 7), docs.where(F.col("doc_id") % 10 < 7).withColumnRenamed("doc_id", "ref_id"))
+    """Validation and test documents against train documents."""
+    docs = G.with_split(read_table(spark, sf_dir, "documents"), _splits(spark, sf_dir))
+    return C.leakage(docs.where("split <> 'train'"), docs.where("split = 'train'").select(F.col("doc_id").alias("ref_id"), "text"))
+
+
+def _turns_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations, their roles as the three classes; training turns are those of conversations whose digest begins with 0 to b."""
+    t = read_table(spark, sf_dir, "conversations")
+    role = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "ai_generated").otherwise("ai_polished")
+    train = F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 1) <= "b"
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), role.alias("class"), "text", train.alias("train"))
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sentences with context, document measurements in long form with the class of labelled documents)."""
+    ctx = materialize(X.context(X.sentence_table(read_table(spark, sf_dir, "documents").select("doc_id", "text"))), "context")
+    d = ctx.groupBy("doc_id").agg(
+        F.first("whole_lm_frac_top1").alias("whole_lm_frac_top1"), F.first("whole_lm_perplexity").alias("whole_lm_perplexity"), F.when(F.avg("sty_n_words") < 1e-9, 0.0).otherwise(F.stddev_pop("sty_n_words") / F.avg("sty_n_words")).alias("bur_cv_sent_len"),
+        F.coalesce(F.avg(F.when(F.col("sent_id") > 0, F.col("ctx_abs_len_diff_prev"))), F.lit(0.0)).alias("bur_mean_abs_adjacent_diff"), F.avg("sty_transition_word_rate").alias("agg_mean_sty_transition_word_rate"),
+        F.max("ctx_style_distance_to_doc").alias("shift_max_style_distance_to_doc"), F.lit(0.0).alias("rep_pos_fourgram_repeat_ratio"),
+    )
+    long = d.unpivot("doc_id", [c for c in d.columns if c != "doc_id"], "feature", "value")
+    cls = read_table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).select("doc_id", F.when(F.col("q") == 1, "human").otherwise("ai_generated").alias("class"))
+    return ctx, long.join(cls, "doc_id", "left")
+
+
+def _document_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, long = _measured(spark, sf_dir)
+    return E.meters(long.select("doc_id", "feature", "value"), E.reference(long.select("feature", "class", "value")), E.DOCUMENT, ["doc_id"]).drop("detail")
+
+
+def _notable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.notable(_document_meters(spark, sf_dir), ["doc_id"]).select("doc_id", F.col("nth").cast("long").alias("nth"), "key", "strength")
+
+
+def _document_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    sents = materialize(D.sentence_words(docs), "sentences-words")
+    phrases = D.repeated_spans(docs)
+    scored = V.stand_in_scores(sents)
+    w = F.greatest("n_words", F.lit(1))
+    flagged = scored.groupBy("doc_id", "para_id").agg((F.sum(F.col("score") * w) / F.sum(w)).alias("p")).where("p >= 0.6").select("doc_id", "para_id")
+    return E.document_statements(sents.select("doc_id", F.size("words").cast("double").alias("n_words")), phrases, flagged)
+
+
+def _sentence_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = materialize(X.context(X.sentence_table(read_table(spark, sf_dir, "documents").select("doc_id", "text"))), "context")
+    return E.sentence_statements(ctx, X.essay_context(ctx))
+
+
+def _labelled_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Embeddings as a table of features: three classes, groups of neighbouring ids."""
+    e = read_table(spark, sf_dir, "embeddings")
+    n = 64
+    names = [f"x{i}" for i in range(n)]
+    return e.select("vec_id", F.floor(F.col("vec_id") / 4).cast("long").alias("group_id"), F.pmod("label", F.lit(3)).cast("int").alias("y"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(n))), names
+
+
+def _trained(spark: SparkSession, sf_dir: str):
+    df, names = _labelled_vectors(spark, sf_dir)
+    folds = M.group_folds(df, "group_id", 4)
+    df = df.join(folds.select("group_id", "fold"), "group_id")
+    return df, names, M.fit(df.where("fold < 3"), names)
+
+
+def _train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on three folds, calibrated and predicted on the fourth."""
+    df, _, t = _trained(spark, sf_dir)
+    held = df.where("fold = 3")
+    return M.predict(held, M.calibrate(t, held)).select("vec_id", "y", "k", *(F.round(f"p{i}", 3).alias(f"p{i}") for i in range(3)))
+
+
+def _vector_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, _, t = _trained(spark, sf_dir)
+    return M.contributions(df.where("fold = 3"), t, "vec_id").select("vec_id", "place", "feature", F.round("contribution", 3).alias("contribution"), "direction", "method")
+
+
+def _model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, names = _labelled_vectors(spark, sf_dir)
+    sets = {"all": ("x",), "few": ("x1",)}
+    found = M.ablation(df, names, "group_id", ("logreg_l2", "logreg_l2_strong"), sets, 2)
+    return M.best_estimators(found).select("feature_set", "estimator", F.round("cv_macro_f1", 2).alias("cv_macro_f1"), "place")
 
 
 def _on_melted(plan: str) -> Query:
@@ -264,5 +346,17 @@ QUERIES: dict[str, Query] = {
     "rate_limit_fixed": _fixed_limit,
     "json_properties": _json,
     "health_rollup": _health,
+    "corpus_similarity": lambda spark, sf_dir: _rounded(C.corpus_similarity(_turns_by_class(spark, sf_dir)), "id"),
+    "document_meters": _document_meters,
+    "notable_meters": _notable,
+    "document_statements": _document_statements,
+    "sentence_statements": _sentence_statements,
+    "token_evidence": _on_documents(lambda docs: E.token_evidence(X.token_table(D.sentence_words(docs)))),
+    "scaler_stats": lambda spark, sf_dir: _rounded(M.scaler_stats(*_labelled_vectors(spark, sf_dir)), "feature"),
+    "anova_scores": lambda spark, sf_dir: _rounded(M.anova_f(*_labelled_vectors(spark, sf_dir), "y"), "feature"),
+    "group_folds": lambda spark, sf_dir: M.group_folds(read_table(spark, sf_dir, "orders"), "o_custkey", 4),
+    "train_predict": _train_predict,
+    "vector_contributions": _vector_contributions,
+    "model_comparison": _model_comparison,
     "rate_limit_sliding": lambda spark, sf_dir: sliding_limit(read_table(spark, sf_dir, "events")),
 }
