@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosegauge.operators.rules import top_contributions
+from prosegauge.session import materialize
 
 LABELS = ("human", "ai_generated", "ai_polished")
 #: Feature sets of the ablation, by prefix.
@@ -123,7 +124,9 @@ def fit(train: DataFrame, features: list[str], name: str = "logreg_l2") -> Train
     stats = {r["feature"]: r for r in scaler_stats(train, features).collect()}
     mean, scale = ({f: stats[f][c] for f in features} for c in ("mean", "scale"))
     data = class_weights(standardised(train, (features, mean, scale)).withColumn("y", F.col("y").cast("double")), "y")
-    return Trained(estimator(name, train.count()).fit(data), features, mean, scale, "linear" if name.startswith("logreg") else "tree_importance")
+    # read many times by the optimiser: vectors, written once
+    data = materialize(data.select("vector", "y", "weight"), "vectors")
+    return Trained(estimator(name, data.count()).fit(data), features, mean, scale, "linear" if name.startswith("logreg") else "tree_importance")
 
 
 def raw_scores(df: DataFrame, t: Trained) -> DataFrame:

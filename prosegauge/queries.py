@@ -13,13 +13,14 @@ from prosegauge.operators import decide as V
 from prosegauge.operators import document as D
 from prosegauge.operators import evidence as E
 from prosegauge.operators import features as X
+from prosegauge.operators import generation as N
 from prosegauge.operators import learn as M
 from prosegauge.operators import preparation as G
 from prosegauge.operators import rules as R
 from prosegauge.operators import store as S
 from prosegauge.operators import segment
 from prosegauge.operators.limiter import sliding_limit
-from prosegauge.operators.surface import STY
+from prosegauge.operators.surface import STY, SYN, syntax
 from prosegauge.plans import corpus as PC
 from prosegauge.plans import decide as PV
 from prosegauge.plans import store as PS
@@ -98,12 +99,17 @@ def _sentence_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sentence_statements(ctx, X.essay_context(ctx))
 
 
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seed_id"), "text").where("text is not null")
+
+
 def _labelled_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Embeddings as a table of features: three classes, groups of neighbouring ids."""
     e = read_table(spark, sf_dir, "embeddings")
     n = 64
     names = [f"x{i}" for i in range(n)]
-    return e.select("vec_id", F.floor(F.col("vec_id") / 4).cast("long").alias("group_id"), F.pmod("label", F.lit(3)).cast("int").alias("y"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(n))), names
+    out = e.select("vec_id", F.floor(F.col("vec_id") / 4).cast("long").alias("group_id"), F.pmod("label", F.lit(3)).cast("int").alias("y"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(n)))
+    return materialize(out, "vectors"), names
 
 
 def _trained(spark: SparkSession, sf_dir: str):
@@ -358,5 +364,11 @@ QUERIES: dict[str, Query] = {
     "train_predict": _train_predict,
     "vector_contributions": _vector_contributions,
     "model_comparison": _model_comparison,
+    "generation_grid": lambda spark, sf_dir: N.grid(spark),
+    "procedural_essays": lambda spark, sf_dir: N.procedural_essays(N.grid(spark)).select("prompt_id", F.sha2("text", 256).alias("text"), T.n_space_words(F.col("text")).alias("n_words")),
+    "human_variants": lambda spark, sf_dir: N.human_variants(_seeds(spark, sf_dir)),
+    "polish_pairs": lambda spark, sf_dir: N.polish_pairs(_seeds(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6)),
+    "normalised_texts": lambda spark, sf_dir: read_table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalise(F.col("text")), 256).alias("normalised")),
+    "syntax_without_parser": _on_documents(lambda docs: syntax(segment.sentences(docs)).select("doc_id", "sent_id", *SYN)),
     "rate_limit_sliding": lambda spark, sf_dir: sliding_limit(read_table(spark, sf_dir, "events")),
 }

@@ -33,3 +33,25 @@ def test_sliding_limit(spark, sf):
         rows.sort()
         for (_, e), want in zip(rows, decide([t for t, _ in rows], 3600, 2), strict=True):
             assert got[e] == want
+
+
+def test_sliding_limit_as_a_stream(spark, tmp_path):
+    """Batch after batch, each client's log goes on where it was."""
+    import json
+
+    from prosegauge.operators.limiter import decide
+    from prosegauge.streaming.requests import read_requests, sliding_limit
+
+    times = {"a": [0, 5, 10, 59, 61, 62, 130], "b": [3, 4, 200]}
+    rows = sorted((t, c) for c, ts in times.items() for t in ts)
+    for i in range(0, len(rows), 4):
+        (tmp_path / f"{i:03}.jsonl").write_text("".join(json.dumps({"analysis_id": f"{c}{t:04}", "ts": f"2024-01-01T00:{t // 60:02}:{t % 60:02}Z", "client": c, "text": "x"}) + "\n" for t, c in rows[i : i + 4]))
+        import os
+
+        os.utime(tmp_path / f"{i:03}.jsonl", (1_700_000_000 + i, 1_700_000_000 + i))
+    out = sliding_limit(read_requests(spark, str(tmp_path)), 60, 3)
+    stream = out.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    stream.awaitTermination(120)
+    got = {r.analysis_id: (r.allowed, r.retry_after) for r in spark.table("limited").collect()}
+    for c, ts in times.items():
+        assert [got[f"{c}{t:04}"] for t in ts] == decide([float(t) for t in ts], 60, 3)
