@@ -16,6 +16,7 @@ from prosegauge.operators import features as X
 from prosegauge.operators import generation as N
 from prosegauge.operators import learn as M
 from prosegauge.operators import preparation as G
+from prosegauge.operators import ranks as K
 from prosegauge.operators import rules as R
 from prosegauge.operators import store as S
 from prosegauge.operators import segment
@@ -138,13 +139,16 @@ def _model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.best_estimators(found).select("feature_set", "estimator", F.round("cv_macro_f1", 2).alias("cv_macro_f1"), "place")
 
 
-def _on_melted(plan: str) -> Query:
-    return lambda spark, sf_dir: run(spark, plan, melted=C.melted(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")))
+def _melted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.melted(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read_table(spark, sf_dir, "conversations").where("role <> 'system'")
-    return C.char_similarity(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("label"), "text"))
+def _percentile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place among the reference percentiles over all documents; the table has a row a feature."""
+    m = materialize(_melted(spark, sf_dir), "melted")
+    table = K.reference_percentiles(m).where("class = 'overall'").drop("class", "n", "mean", "std")
+    place = E.percentile(F.col("value"), [F.col(f"p{q}") for q in E.PLACES])
+    return m.join(F.broadcast(table), "feature").select("doc_id", "feature", F.round(place, 8).alias("percentile"))
 
 
 def _on_pred(plan: str) -> Query:
@@ -294,31 +298,25 @@ QUERIES: dict[str, Query] = {
     "sentence_jaccard": _on_documents(D.sentence_jaccard),
     "repeated_spans": _on_documents(D.repeated_spans),
     "document_structure": _on_documents(D.structure),
-    "context_zscores": _on_documents(D.context),
-    "changepoints": _on_documents(D.changepoints),
-    "agg_sentence_features": _on_documents(D.rollup),
     "validate_documents": _whole(C.validated),
     "exact_duplicates": _whole(C.exact_duplicates),
     "dedup_keep_first": _whole(C.keep_first),
-    "assign_splits": _whole(C.assign_splits),
     "split_manifest": _on_tables(PC.MANIFEST, "documents"),
     "leakage_audit_benchmark": _leak_benchmark,
     "leakage_audit_docs": _leak_docs,
-    "reference_percentiles": _on_melted(PC.REFERENCE),
-    "percentile_lookup": _on_melted(PC.PERCENTILE_LOOKUP),
-    "iqr_outliers": _on_melted(PC.OUTLIERS),
-    "centroid_cosine_embeddings": lambda spark, sf_dir: C.nearest_centroid(read_table(spark, sf_dir, "embeddings")),
-    "ngram_lm_scores": _on_documents(C.ngram_scores),
-    "lm_features": _on_documents(C.lm_features),
-    "char_tfidf_similarity": _turns,
+    "reference_percentiles": lambda spark, sf_dir: K.reference_percentiles(_melted(spark, sf_dir)),
+    "percentile_lookup": _percentile_lookup,
+    "iqr_outliers": lambda spark, sf_dir: K.iqr_outliers(_melted(spark, sf_dir)),
+    "centroid_cosine_embeddings": lambda spark, sf_dir: K.nearest_centroid(read_table(spark, sf_dir, "embeddings")),
+    "ngram_lm_scores": _on_documents(lambda docs: K.ngram_scores(C.folded_words(docs))),
     "verdict_rules": _on_pred(PV.VERDICT),
     "sentence_bands": _on_scores(PV.SENTENCE_BAND),
     "paragraph_rollup": _on_scores(PV.ROLLUP),
     "confusion_metrics": _on_pred(PV.CONFUSION),
     "classification_summary": _on_pred(PV.SUMMARY),
     "ece_reliability": _on_pred(PV.RELIABILITY),
-    "auc_by_class": _on_pred(PV.AUC),
-    "roc_pr_curves": _on_pred(PV.CURVES),
+    "auc_by_class": lambda spark, sf_dir: K.auc_by_class(_pred(spark, sf_dir)),
+    "roc_pr_curves": lambda spark, sf_dir: K.roc_pr_curves(_pred(spark, sf_dir)),
     "losses": _on_pred(PV.LOSSES),
     "slice_metrics": _on_pred(PV.SLICES),
     "wilson_bias_by_language": _on_pred(PV.BIAS),

@@ -22,3 +22,10 @@ def read_text_documents(spark: SparkSession, path: str, min_words: int = 1) -> D
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
     words = F.size(F.filter(F.split("value", r"\s+"), lambda w: w != ""))
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(words >= min_words)
+
+
+def with_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``files`` (path, text) with what an optional manifest (file, topic, l2_english, voice, license, notes) says of each file name; defaults elsewhere."""
+    named = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    out = named.join(F.broadcast(manifest.dropDuplicates(["file"])), "file", "left")
+    return out.select("file", "text", "topic", F.coalesce("l2_english", F.lit(False)).alias("l2_english"), "voice", F.coalesce("license", F.lit("unspecified")).alias("license"), "notes")

@@ -71,3 +71,14 @@ def test_prepare(spark):
 def test_warnings_and_format(spark):
     row = spark.range(1).select(R.warnings_of(F.lit("regex"), F.lit(False), F.lit("bootstrap"), F.lit(None).cast("boolean")).alias("w"), R.percent(F.lit(0.1234)).alias("p"), R.signed(F.lit(-0.5)).alias("s"), R.feature_group(F.lit("agg_p25_lm_perplexity")).alias("g")).first()
     assert row.w == ["syntax_not_measured", "no_reference_corpus", "bootstrap_corpus", "no_sentence_model"] and (row.p, row.s, row.g) == ("12.3%", "-0.500", "lm")
+
+
+def test_raw_human_files(spark, tmp_path):
+    from prosegauge.sources.tables import read_text_documents, with_manifest
+
+    (tmp_path / "a.txt").write_text("one two three")
+    (tmp_path / "b.txt").write_text("one")
+    m = spark.createDataFrame([("a.txt", "sea", True, None, None, "n")], "file string, topic string, l2_english boolean, voice string, license string, notes string")
+    got = with_manifest(read_text_documents(spark, str(tmp_path), 2), m).collect()
+    assert [(r.file, r.topic, r.l2_english, r.license) for r in got] == [("a.txt", "sea", True, "unspecified")]
+    assert with_manifest(read_text_documents(spark, str(tmp_path), 1), m.limit(0)).where("l2_english").count() == 0
