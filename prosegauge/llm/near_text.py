@@ -10,8 +10,8 @@ keep the share of pairs that no key holds under ``LOST`` for pairs at just ``SIM
 segments, 2 % were lost of all pairs at 0.8 or more, and 4.5 % of those under 0.85.
 
 Links. Each entry of a key is paired with the ``SPAN`` entries before it, by size of set. Keys with more entries than that and with more than one component after
-this step are searched besides in blocks, each two blocks whole, for pairs of different components. Pairs whose sizes rule the similarity out, or that differ in more than
-``NEAR`` of 128 bits, go at once; all others are verified on the whole sets, made anew from the texts, so no pair under ``SIMILAR`` is a link.
+this step are searched besides in blocks, each two blocks whole, for pairs of different components; a pair that several keys hold comes from the first of them alone. Pairs whose sizes rule the
+similarity out, or that differ in more than ``NEAR`` of 128 bits or a share of ``APART`` of all, go at once; all others are verified on the whole sets, made anew from the texts, so no pair under ``SIMILAR`` is a link.
 
 Groups are the components of the links; the document of the smallest id stays (a null id is never the smallest beside another; of equal ids the smallest text hash).
 
@@ -39,6 +39,8 @@ SPAN = 8
 BLOCK = 2_000
 #: Of 128 bits: pairs at SIMILAR differ in about 19, with a spread of 4; others in about 64.
 NEAR = 36
+#: The share of all bits beyond which entries of a crowded key are no pair: at SIMILAR it is 0.15, with a spread of 0.023 over 240 bits.
+APART = 0.225
 #: So many pairs, at most, have the members that they name broadcast.
 NAMED = 500_000
 
@@ -87,24 +89,49 @@ def _sizes(n, m):
     return (n * 5 >= m * 4) & (m * 5 >= n * 4)
 
 
-def near(words: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of different ``root`` that may be similar, by 128 bits (two uint64) and sizes."""
-    for j in range(len(n)):
-        y = np.flatnonzero((root[j + 1 :] != root[j]) & _sizes(n[j + 1 :], n[j])) + j + 1
-        yield from ((j, k) for k in y[np.bitwise_count(words[y] ^ words[j]).sum(1) <= NEAR])
+def _cut(words: np.ndarray, segment: int, length: int) -> np.ndarray:
+    """The bits of one segment of each row of ``words`` (uint64)."""
+    word, at = divmod(segment * length, WORD)
+    out = words[:, word] >> np.uint64(at)
+    if at + length > WORD:
+        out = out | words[:, word + 1] << np.uint64(WORD - at)
+    return out & np.uint64((1 << length) - 1)
 
 
-def _crowd_pairs(crowd: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs within each crowded key (key, node, size, root) that may link, over blocks of about ``BLOCK`` entries, each with each other."""
+def near(words: np.ndarray, n: np.ndarray, root: np.ndarray, slot: int, length: int, segments: int, own: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of different ``root`` that may be similar, by all bits of their fingerprints (uint64) and sizes, and for which the key of ``slot`` is the first of all keys that hold both:
+    the earliest segment in which they differ by one bit at most, and there the bit that differs, or the first one. ``own``: rows of one kind are not paired with each other."""
+    segment, most = slot // length, math.ceil(APART * segments * length)
+    parts = np.stack([_cut(words, q, length) for q in range(segments)])
+    for j in range(len(n)):
+        ok = (root[j + 1 :] != root[j]) & _sizes(n[j + 1 :], n[j])
+        if own is not None:
+            ok &= own[j + 1 :] != own[j]
+        y = np.flatnonzero(ok) + j + 1
+        if not len(y):
+            continue
+        apart = np.bitwise_count(parts[:, y] ^ parts[:, j, None])
+        first = np.argmax(apart <= 1, axis=0)
+        same = apart[segment] == 0
+        yield from ((j, k) for k in y[(apart.sum(0) <= most) & (first == segment) & (~same | (slot % length == 0))])
+
+
+def _crowd_pairs(crowd: DataFrame, prints: DataFrame, segments: int, length: int) -> DataFrame:
+    """Pairs within each crowded key (key, node, size, root) that may link, over blocks of about ``BLOCK`` entries, each with each other; each pair once, whatever keys hold it."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     others = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != F.col("mine")))
     dealt = crowd.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(others))
-    dealt = dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "root")
-    dealt = dealt.join(prints.select("node", "n", F.get("f", F.lit(0)).alias("f0"), F.get("f", F.lit(1)).alias("f1")), "node")
+    dealt = dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "root").join(prints.select("node", "n", "f"), "node")
 
     def span(table: pa.Table) -> pa.Table:
-        nodes, root, n, f0, f1 = (table.column(c).to_numpy() for c in ("node", "root", "n", "f0", "f1"))
-        pairs = np.array(list(near(np.column_stack([f0, f1]).view(np.uint64), n.astype(np.int64), root)), np.int64).reshape(-1, 2)
+        nodes, root, n, mine = (table.column(c).to_numpy() for c in ("node", "root", "n", "mine"))
+        lists = table.column("f").combine_chunks()
+        words = lists.flatten().to_numpy().view(np.uint64).reshape(len(lists), -1)
+        key, lo, hi = (table.column(c)[0].as_py() for c in ("key", "lo", "hi"))
+        # entries of one block meet each other beside block 0, those of block 0 beside block 1
+        each = np.arange(len(mine))
+        kind = each if hi <= 1 else np.where((lo == 0) & (mine == hi), each + hi + 1, mine)
+        pairs = np.array(list(near(words, n.astype(np.int64), root, key >> 32, length, segments, kind)), np.int64).reshape(-1, 2)
         return pa.table([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
 
     return dealt.groupBy("key", "lo", "hi").applyInArrow(span, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -141,7 +168,7 @@ def links(prints: DataFrame, texts: DataFrame, shingle: int, segments: int, leng
     crowd = entries.where(F.col("size") > SPAN + 1).select("key", "node", "size")
     crowd = crowd.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = crowd.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    more = _crowd_pairs(crowd.join(mixed, "key", "left_semi").select("key", "node", "size", "root"), prints)
+    more = _crowd_pairs(crowd.join(mixed, "key", "left_semi").select("key", "node", "size", "root"), prints, segments, length)
     return found.unionByName(_verified(materialize(more, "near-pairs"), texts, shingle))
 
 

@@ -73,6 +73,29 @@ def test_crowded_keys_lose_no_candidate(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_each_near_pair_once():
+    """Over all keys and blocks a pair comes from one key, and no near pair is missed."""
+    import numpy as np
+
+    rng = random.Random(7)
+    segments, length = 4, 16
+    base = rng.getrandbits(64)
+    rows = [base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(40)]
+    words, n, root = np.array([[r] for r in rows], np.uint64), np.full(40, 100), np.arange(40)
+    seen = []
+    for slot in range(64):
+        lo, mask = slot // length * length, ((1 << length) - 1) & ~(1 << slot % length)
+        groups = {}
+        for i, r in enumerate(rows):
+            groups.setdefault(r >> lo & mask, []).append(i)
+        for g in groups.values():
+            at = np.array(g)
+            seen += [(g[a], g[b]) for a, b in J.near(words[at], n[at], root[at], slot, length, segments)]
+    part = lambda r, q: r >> q * length & ((1 << length) - 1)
+    want = {(i, j) for j in range(40) for i in range(j) if (rows[i] ^ rows[j]).bit_count() <= 15 and any((part(rows[i], q) ^ part(rows[j], q)).bit_count() <= 1 for q in range(segments))}
+    assert len(seen) == len(set(seen)) and set(seen) == want
+
+
 def test_plan():
     assert J.plan(0) == J.plan(250_000) == (12, 20)
     segments, length = J.plan(10**9)
