@@ -12,6 +12,7 @@ from prosegauge.operators.segment import sentences
 from prosegauge.operators.surface import hapaxes, surface
 from prosegauge.plans import documents as P
 from prosegauge.plans.run import run
+from prosegauge.session import materialize
 
 
 def sentence_features(docs: DataFrame) -> DataFrame:
@@ -40,40 +41,29 @@ def whole_texts(docs: DataFrame) -> DataFrame:
 
 
 def rhythm(docs: DataFrame) -> DataFrame:
-    return run(docs.sparkSession, P.RHYTHM, sent=sentence_features(docs))
+    return run(docs.sparkSession, P.RHYTHM, sent=materialize(sentence_features(docs), "sentences"))
 
 
 def rhythm_series(docs: DataFrame) -> DataFrame:
-    return run(docs.sparkSession, P.RHYTHM_SERIES, sent=sentence_features(docs))
+    return run(docs.sparkSession, P.RHYTHM_SERIES, sent=materialize(sentence_features(docs), "sentences"))
 
 
 def repetition(docs: DataFrame) -> DataFrame:
-    return run(docs.sparkSession, P.REPETITION, tok=tokens(sentence_words(docs)))
+    return run(docs.sparkSession, P.REPETITION, tok=materialize(tokens(sentence_words(docs)), "tokens"))
 
 
 def sentence_jaccard(docs: DataFrame) -> DataFrame:
-    return run(docs.sparkSession, P.JACCARD, tok=tokens(sentence_words(docs)))
+    return run(docs.sparkSession, P.JACCARD, tok=materialize(tokens(sentence_words(docs)), "tokens"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    return run(docs.sparkSession, P.REPEATED_SPANS, tok=tokens(sentence_words(docs)))
+    return run(docs.sparkSession, P.REPEATED_SPANS, tok=materialize(tokens(sentence_words(docs)), "tokens"))
 
 
 def structure(docs: DataFrame) -> DataFrame:
-    return run(docs.sparkSession, P.STRUCTURE, sent=sentence_features(docs), whole=whole_texts(docs))
+    return run(docs.sparkSession, P.STRUCTURE, sent=materialize(sentence_features(docs), "sentences"), whole=whole_texts(docs))
 
 
-def context(docs: DataFrame) -> DataFrame:
-    return run(docs.sparkSession, P.CONTEXT, sent=sentence_features(docs))
-
-
-def changepoints(docs: DataFrame) -> DataFrame:
-    return run(docs.sparkSession, P.CHANGEPOINTS, sent=sentence_features(docs))
-
-
-def rollup(docs: DataFrame) -> DataFrame:
-    return run(docs.sparkSession, P.ROLLUP, sent=sentence_features(docs))
-
 
 def sentence_words(docs: DataFrame) -> DataFrame:
     """Sentences with their words in lower case."""

@@ -180,51 +180,15 @@ ORACLES: dict[str, str] = {
     "sentence_split": f'WITH {SENT} SELECT doc_id, sent_id, para_id, "start", "end", text FROM s0',
     "paragraph_spans": f'WITH {SENT} SELECT doc_id, para_id, count(*) AS n_sentences, min("start") AS "start", max("end") AS "end" FROM s0 GROUP BY doc_id, para_id',
     "surface_features": f"WITH {SURF} SELECT doc_id, sent_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in STY) + " FROM sent",
-    "rhythm_by_document": over(SURF, P.RHYTHM),
-    "rhythm_series": over(SURF, P.RHYTHM_SERIES),
-    "ngram_repetition": over(TOK, P.REPETITION),
-    "sentence_jaccard": over(TOK, P.JACCARD),
     "repeated_spans": over(TOK, P.REPEATED_SPANS),
-    "document_structure": over(f"{SURF}, {WHOLE}", P.STRUCTURE),
-    "context_zscores": over(SURF, P.CONTEXT),
-    "changepoints": over(SURF, P.CHANGEPOINTS),
-    "agg_sentence_features": over(SURF, P.ROLLUP),
     "validate_documents": f"""SELECT doc_id, CASE WHEN regexp_replace(coalesce(text, ''), {q(_B)}, '', 'g') = '' THEN 'empty' WHEN len(text) > 60000 THEN 'too_long' WHEN len(text) < 200 THEN 'too_short' ELSE 'ok' END AS status,
         len(coalesce(text, ''))::BIGINT AS n_chars, len({_SPACED})::BIGINT AS n_words, sha256(coalesce(text, '') || chr(0) || '1.0.0' || chr(0) || '1.0.0') AS content_hash FROM documents""",
-    "exact_duplicates": over(KEYED, C.EXACT_DUPLICATES),
-    "dedup_keep_first": over(KEYED, C.KEEP_FIRST),
-    "assign_splits": over(KEYED, C.ASSIGN_SPLITS),
-    "split_manifest": over("", C.MANIFEST),
-    "leakage_audit_benchmark": over(SHINGLES, C.LEAKAGE),
-    "leakage_audit_docs": over(SELF_SHINGLES, C.LEAKAGE),
     "reference_percentiles": over(MELTED, C.REFERENCE),
     "percentile_lookup": over(MELTED, C.PERCENTILE_LOOKUP),
     "iqr_outliers": over(MELTED, C.OUTLIERS),
     "centroid_cosine_embeddings": over(VECTORS, C.NEAREST_CENTROID),
     "ngram_lm_scores": over(FOLDED, C.NGRAM_SCORES),
-    "lm_features": over(FOLDED, C.LM_FEATURES),
-    "char_tfidf_similarity": over(TEXTS, C.TFIDF),
-    "verdict_rules": over(PRED, V.VERDICT),
-    "sentence_bands": over(SCORED, V.SENTENCE_BAND),
-    "paragraph_rollup": over(SCORED, V.ROLLUP),
-    "confusion_metrics": over(PRED, V.CONFUSION),
-    "classification_summary": over(PRED, V.SUMMARY),
-    "ece_reliability": over(PRED, V.RELIABILITY),
     "auc_by_class": over(PRED, V.AUC),
     "roc_pr_curves": over(PRED, V.CURVES),
-    "losses": over(PRED, V.LOSSES),
-    "slice_metrics": over(PRED, V.SLICES),
-    "wilson_bias_by_language": over(PRED, V.BIAS),
-    "confident_errors": over(PRED, V.CONFIDENT_ERRORS),
-    "error_rates": over(PRED, V.ERROR_RATES),
     "scrub_pii": f"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, {q(chr(91) + 'a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+' + chr(92) + '.[a-zA-Z0-9_.]+')}, '<email>', 'g'), {q(_PHONE)}, '\\1<phone>', 'g'), '\\b[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}\\b', '<ssn>', 'g')) AS scrubbed FROM documents",
-    "latest_status": over("", S.LATEST),
-    "retention_purge": over("", S.PURGE),
-    "cascade_delete": over("", S.CASCADE),
-    "insert_if_absent": over("", S.UPSERT),
-    "recent_page": over("", S.PAGE),
-    "rate_limit_fixed": over("", S.FIXED_LIMIT),
-    "event_tumbling_counts": over("", S.TUMBLING),
-    "health_rollup": over("", S.HEALTH),
-    "joined_results": over("", S.JOINED_RESULTS),
 }

@@ -1,20 +1,6 @@
-"""Result store and request control over events (event_id, ts, user_id, event_type, value, props)."""
+"""Result store and request control over events (event_id, ts, user_id, event_type, value, props), as plans."""
 
 from __future__ import annotations
 
-#: Last write wins: the newest state of each key, ties to the larger id. A grouped maximum, which combines before the shuffle.
-LATEST = "SELECT user_id, MAX(event_id) AS event_id, COUNT(*) AS writes FROM events GROUP BY user_id"
-#: Rows older than the retention period, counted from the newest row, are purged; with them what hangs on their user if nothing newer does.
-PURGE = "SELECT e.event_id, e.user_id, e.event_type FROM events e JOIN (SELECT MAX(ts) AS newest FROM events) m ON 1 = 1 WHERE e.ts >= m.newest - INTERVAL 7 DAYS"
-#: Deleting a parent deletes its children.
-CASCADE = "SELECT o.o_orderkey, o.o_custkey FROM orders o LEFT ANTI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) gone ON o.o_custkey = gone.c_custkey"
-#: Insert if absent: keys of the second input that the first lacks are appended.
-UPSERT = "SELECT c_custkey, 'kept' AS origin FROM customer UNION ALL SELECT o.k AS c_custkey, 'new' AS origin FROM (SELECT DISTINCT o_custkey + 5 AS k FROM orders) o LEFT ANTI JOIN customer c ON o.k = c.c_custkey"
-#: One page of the newest rows, with the total.
-PAGE = "SELECT event_id, user_id, event_type, total FROM (SELECT *, COUNT(*) OVER () AS total FROM events) e ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40"
-#: Fixed window of a minute for each user: 30 requests; rejected ones count.
-FIXED_LIMIT = "SELECT event_id, user_id, CAST(rn AS BIGINT) AS nth, rn <= 3 AS allowed FROM (SELECT event_id, user_id, ROW_NUMBER() OVER (PARTITION BY user_id, CAST(FLOOR(EPOCH(ts) / 3600) AS BIGINT) ORDER BY ts, event_id) AS rn FROM events) t"
 TUMBLING = "SELECT CAST(FLOOR(EPOCH(ts) / 3600) AS BIGINT) AS hour, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY CAST(FLOOR(EPOCH(ts) / 3600) AS BIGINT), event_type"
-#: Health of the parts of a service, rolled up.
-HEALTH = "SELECT user_id, CASE WHEN SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 0 THEN 'unavailable' WHEN SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) > 0 THEN 'degraded' ELSE 'ok' END AS status FROM events GROUP BY user_id"
 JOINED_RESULTS = "SELECT c.c_custkey, c.c_name, COALESCE(r.n, 0) AS n_results, ROUND(COALESCE(r.total, 0.0), 2) AS total FROM customer c LEFT JOIN (SELECT o_custkey, COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey) r ON c.c_custkey = r.o_custkey"
