@@ -44,7 +44,7 @@ END = b"\n"
 #: Words of a task's counter before it is sent on, tokens of texts that run abreast, and rows of a batch.
 HELD, ABREAST, ROWS = 400_000, 1 << 19, 2048
 #: Steps whose forward values are kept, and how many such values of training texts.
-CHUNK, KEPT = 2048, 1 << 17
+CHUNK, KEPT = 1024, 1 << 18
 CLASSES = 256
 #: Strength of the unigram prior in a state's emissions, and of the stay-put prior in its transitions.
 PRIOR, STAY = 200.0, 0.95
@@ -253,9 +253,11 @@ class Expected:
                 alpha *= beta
             if not at:
                 self.start += kept[0][1].sum(0)
-            seen, weight = np.concatenate([grid[t, : live[t]] for t, _, _ in kept]), np.concatenate([alpha for _, alpha, _ in kept])
-            for h in range(len(m.start)):
-                self.emit[:, h] += np.bincount(seen, weight[:, h], len(self.emit))
+            for some in range(0, len(kept), 128):
+                part = kept[some : some + 128]
+                seen, weight = np.concatenate([grid[t, : live[t]] for t, _, _ in part]), np.concatenate([alpha for _, alpha, _ in part])
+                for h in range(len(m.start)):
+                    self.emit[:, h] += np.bincount(seen, weight[:, h], len(self.emit))
 
 
 def _forward(grid: np.ndarray, live: np.ndarray, at: int, end: int, alpha: np.ndarray | None, m: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -269,14 +271,23 @@ def _forward(grid: np.ndarray, live: np.ndarray, at: int, end: int, alpha: np.nd
 
 
 def alike(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Texts in groups of like length (by a power of two), of KEPT forward values at most, or one text."""
+    """Texts in groups of like length (by a power of two) of about KEPT forward values at a time; what is left at the end in groups of twice that, the longest first, so that few
+    groups are narrow."""
     held: dict[int, list[np.ndarray]] = {}
     for x in texts:
         k = len(x).bit_length()
         held.setdefault(k, []).append(x)
         if len(held[k]) * min(1 << k, CHUNK) >= KEPT:
             yield held.pop(k)
-    yield from held.values()
+    group, values = [], 0
+    for x in (x for k in sorted(held, reverse=True) for x in held[k]):
+        group.append(x)
+        values += min(len(x), CHUNK)
+        if values >= 2 * KEPT:
+            yield group
+            group, values = [], 0
+    if group:
+        yield group
 
 
 def expected_counts(coded: DataFrame, sent, states: int) -> DataFrame:

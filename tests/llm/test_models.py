@@ -57,7 +57,9 @@ def test_expected_counts_are_the_sums_over_paths(monkeypatch, chunk):
 def test_groups_of_like_length():
     texts = [np.zeros(n) for n in (1, 5, 3, 5000, 70, 6, 64, 127, 1)]
     groups = list(hmm.alike(iter(texts)))
-    assert sum(map(len, groups)) == len(texts) and all(max(map(len, g)) < 2 * min(map(len, g)) + 1 for g in groups)
+    assert sorted(len(x) for g in groups for x in g) == sorted(map(len, texts))
+    many = list(hmm.alike(np.zeros(n) for n in [5] * (hmm.KEPT // 8) + [700]))
+    assert [len(g) for g in many] == [hmm.KEPT // 8, 1]
 
 
 def plain_scores(rows, learn, symbols, states, rounds):
