@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from prosegauge.llm.ann import Forest, nearest
@@ -24,12 +25,14 @@ def brute(rows, query, k):
     return out
 
 
-def test_recall_and_scores(spark, sf):
+@pytest.mark.parametrize("how", [{}, {"block": 1024, "budget": 450}])
+def test_recall_and_scores(spark, sf, how):
+    """With the shipped parameters, a block of their size; and with several smaller ones."""
     emb = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in emb.select("vec_id", "embedding").collect()]
     want = brute(rows, lambda i: i % 50 == 0, 5)
     got = {}
-    for r in nearest(emb, F.col("vec_id") % 50 == 0, block=1024, budget=450).collect():
+    for r in nearest(emb, F.col("vec_id") % 50 == 0, **how).collect():
         got.setdefault(r.query_id, {})[r.vec_id] = r
     assert got.keys() == want.keys() and all(sorted(r.rank for r in g.values()) == [1, 2, 3, 4, 5] for g in got.values())
     hits = sum(j in got[i] for i, w in want.items() for _, j in w)
