@@ -36,7 +36,9 @@ def by_blank_lines(text: Column) -> Column:
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_id, para_id, start, end, text); ids count from 0 without gaps, empty pieces are dropped."""
     # the outer form: for the plain one a filter on the number of pieces is inferred, which splits each text twice
-    pieces = docs.select("doc_id", by_blank_lines(F.col("text")).alias("blank"), F.posexplode_outer(F.split(marked(F.col("text")), NEXT, -1)).alias("i", "piece"))
+    # the kind of gap first: beside the generator it would be sought in the whole text for each piece
+    kinds = docs.select("doc_id", "text", by_blank_lines(F.col("text")).alias("blank"))
+    pieces = kinds.select("doc_id", "blank", F.posexplode_outer(F.split(marked(F.col("text")), NEXT, -1)).alias("i", "piece"))
     # white space before the first sentence is no gap between paragraphs
     seen = F.when(F.col("i") == 0, F.ltrim(F.col("piece"), F.lit(SPACES))).otherwise(F.col("piece"))
     gaps = F.when(F.col("blank"), F.regexp_count(seen, F.lit(BLANK_LINE))).otherwise(F.regexp_count(seen, F.lit(LINE_GAP)))
