@@ -63,9 +63,9 @@ def _turns_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), role.alias("class"), "text", train.alias("train"))
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(sentences with context, document measurements in long form with the class of labelled documents)."""
-    ctx = materialize(X.context(X.sentence_table(read_table(spark, sf_dir, "documents").select("doc_id", "text"))), "context")
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document measurements in long form with the class of labelled documents."""
+    ctx = X.context(X.sentence_table(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "whole_lm_frac_top1", "whole_lm_perplexity", "sty_n_words", "sty_transition_word_rate")
     d = ctx.groupBy("doc_id").agg(
         F.first("whole_lm_frac_top1").alias("whole_lm_frac_top1"), F.first("whole_lm_perplexity").alias("whole_lm_perplexity"), F.when(F.avg("sty_n_words") < 1e-9, 0.0).otherwise(F.stddev_pop("sty_n_words") / F.avg("sty_n_words")).alias("bur_cv_sent_len"),
         F.coalesce(F.avg(F.when(F.col("sent_id") > 0, F.col("ctx_abs_len_diff_prev"))), F.lit(0.0)).alias("bur_mean_abs_adjacent_diff"), F.avg("sty_transition_word_rate").alias("agg_mean_sty_transition_word_rate"),
@@ -73,11 +73,11 @@ def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     long = d.unpivot("doc_id", [c for c in d.columns if c != "doc_id"], "feature", "value")
     cls = read_table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).select("doc_id", F.when(F.col("q") == 1, "human").otherwise("ai_generated").alias("class"))
-    return ctx, long.join(cls, "doc_id", "left")
+    return materialize(long.join(cls, "doc_id", "left"), "measured")
 
 
 def _document_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, long = _measured(spark, sf_dir)
+    long = _measured(spark, sf_dir)
     return E.meters(long.select("doc_id", "feature", "value"), E.reference(long.select("feature", "class", "value")), E.DOCUMENT, ["doc_id"]).drop("detail")
 
 
@@ -96,7 +96,9 @@ def _document_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sentence_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = materialize(X.context(X.sentence_table(read_table(spark, sf_dir, "documents").select("doc_id", "text"))), "context")
+    used = ("sty_n_words", "sty_root_ttr", "lm_perplexity", "lm_mean_logprob")
+    ctx = X.context(X.sentence_table(read_table(spark, sf_dir, "documents").select("doc_id", "text")), *used)
+    ctx = materialize(ctx.select("doc_id", "sent_id", *used, "ctx_z_mean_logprob"), "context")
     return E.sentence_statements(ctx, X.essay_context(ctx))
 
 
@@ -284,9 +286,9 @@ QUERIES: dict[str, Query] = {
     "sentence_lm_features": _on_sentences(lambda s: s.select("doc_id", "sent_id", *X.LM), "doc_id", "sent_id"),
     "whole_lm_features": _on_sentences(lambda s: s.groupBy("doc_id").agg(*(F.first(f"whole_{c}").alias(f"whole_{c}") for c in X.LM))),
     "context_features": _on_sentences(lambda s: X.context(s).select("doc_id", "sent_id", *X.CTX), "doc_id", "sent_id"),
-    "shift_features": _on_sentences(lambda s: X.shift(X.context(s))),
-    "agg_features": _on_sentences(lambda s: X.rolled_up(X.context(s))),
-    "rhythm_lm": _on_sentences(lambda s: X.rhythm_rest(X.context(s))),
+    "shift_features": _on_sentences(lambda s: X.shift(materialize(X.context(s, "lm_mean_logprob", "sty_n_words", *X.STYLE), "context"))),
+    "agg_features": _on_sentences(lambda s: X.rolled_up(X.context(s, *X.AGG_KEEP))),
+    "rhythm_lm": _on_sentences(lambda s: X.rhythm_rest(X.context(s, "lm_mean_logprob", "lm_perplexity"))),
     "repetition_structure": _on_documents(lambda docs: _rounded(X.repetition_rest(docs, D.sentence_words(docs)), "doc_id")),
     "essay_context": _on_sentences(X.essay_context),
     "sentence_split": _on_documents(segment.sentences),
