@@ -286,7 +286,7 @@ QUERIES: dict[str, Query] = {
     "sentence_lm_features": _on_sentences(lambda s: s.select("doc_id", "sent_id", *X.LM), "doc_id", "sent_id"),
     "whole_lm_features": _on_sentences(lambda s: s.groupBy("doc_id").agg(*(F.first(f"whole_{c}").alias(f"whole_{c}") for c in X.LM))),
     "context_features": _on_sentences(lambda s: X.context(s).select("doc_id", "sent_id", *X.CTX), "doc_id", "sent_id"),
-    "shift_features": _on_sentences(lambda s: X.shift(materialize(X.context(s, "lm_mean_logprob", "sty_n_words", *X.STYLE), "context"))),
+    "shift_features": _on_sentences(lambda s: X.shift(materialize(X.context(s, "lm_mean_logprob", "sty_n_words", *X.STYLE).select(*X.SHIFT_USES), "context"))),
     "agg_features": _on_sentences(lambda s: X.rolled_up(X.context(s, *X.AGG_KEEP))),
     "rhythm_lm": _on_sentences(lambda s: X.rhythm_rest(X.context(s, "lm_mean_logprob", "lm_perplexity"))),
     "repetition_structure": _on_documents(lambda docs: _rounded(X.repetition_rest(docs, D.sentence_words(docs)), "doc_id")),
