@@ -152,14 +152,19 @@ def links(prints: DataFrame, texts: DataFrame, shingle: int, segments: int, leng
     word = "element_at(f, v.word + 1)"
     rest = f"shiftrightunsigned({word}, v.at) | if(v.over < 0, 0L, shiftleft(coalesce(get(f, v.word + 1), 0L), v.over))"
     variants = F.expr(f"explode(array({', '.join(places(segments * length, segments))}))").alias("v")
-    keyed = prints.select("node", "n", "f", variants).select("node", "n", F.expr("f[0]").alias("f0"), F.expr("f[1]").alias("f1"), F.expr(f"shiftleft(CAST(v.slot AS BIGINT), 32) | (({rest}) & v.mask)").alias("key"))
+    # the bit that the key leaves out
+    skipped = f"CAST(shiftrightunsigned({rest}, v.slot % {length}) & 1 AS INT)"
+    keyed = prints.select("node", "n", "f", variants).select("node", "n", F.expr("f[0]").alias("f0"), F.expr("f[1]").alias("f1"), F.expr(skipped).alias("bit"), F.expr(f"shiftleft(CAST(v.slot AS BIGINT), 32) | (({rest}) & v.mask)").alias("key"))
     w = Window.partitionBy("key")
-    mine = F.struct(F.col("node").alias("b"), F.col("n").alias("m"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
+    mine = F.struct(F.col("node").alias("b"), F.col("n").alias("m"), F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.col("bit").alias("c"))
     before = F.collect_list(mine).over(w.orderBy("n", "node").rowsBetween(-SPAN, -1))
-    entries = keyed.select("key", "node", "n", "f0", "f1", F.count("key").over(w).alias("size"), before.alias("before")).where("size > 1")
+    entries = keyed.select("key", "node", "n", "f0", "f1", "bit", F.count("key").over(w).alias("size"), before.alias("before")).where("size > 1")
     # verified as far as it goes where they stand: what is written and unfolded are pairs that may link
     hamming = lambda x: F.bit_count(F.col("f0").bitwiseXOR(x["g0"])) + F.bit_count(F.col("f1").bitwiseXOR(x["g1"]))
-    may = F.transform(F.filter("before", lambda x: _sizes(x["m"], F.col("n")) & (hamming(x) <= NEAR)), lambda x: x["b"])
+    # entries that agree in the whole segment share all its keys: they pair in the first of them. Pairs that this leaves out of a crowded key are found by its search
+    first = F.shiftright("key", 32) % length == 0
+    once = lambda x: first | (F.col("bit") != x["c"])
+    may = F.transform(F.filter("before", lambda x: once(x) & _sizes(x["m"], F.col("n")) & (hamming(x) <= NEAR)), lambda x: x["b"])
     entries = entries.select("key", "node", "size", may.alias("before")).where((F.size("before") > 0) | (F.col("size") > SPAN + 1))
     entries = materialize(entries, "near-entries")
     pairs = entries.select("node", F.explode("before").alias("b")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()

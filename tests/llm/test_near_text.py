@@ -63,6 +63,21 @@ def test_links_against_all_pairs(spark, monkeypatch, span, block):
     assert sum(mine[i] == mine[j] for i, j in want) >= 0.9 * len(want)
 
 
+def test_a_pair_is_unfolded_once_a_segment_at_most(spark, monkeypatch):
+    """Texts that agree in a whole segment share each of its keys; they pair in one of them."""
+    written, whole = {}, J.materialize
+
+    def kept(df, name):
+        written[name] = written.get(name) or whole(df, name)
+        return whole(df, name)
+
+    monkeypatch.setattr(J, "materialize", kept)
+    segments, length = J.plan(250_000)
+    links_of(spark, near_pairs(random.Random(9)), (segments, length))
+    pairs = written["near-entries"].select("node", F.explode("before").alias("b")).groupBy(F.greatest("node", "b"), F.least("node", "b")).count()
+    assert pairs.count() and pairs.agg(F.max("count")).first()[0] <= segments
+
+
 def test_crowded_keys_lose_no_candidate(spark, monkeypatch):
     """Pairs that meet under a key of many entries are all found, whatever SPAN is."""
     texts = near_pairs(random.Random(4))
